@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, packing, rules, simhash, unigram
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_bpe": bpe.op2_bpe,
+    "op4_token_counts": unigram.op4_token_counts,
+    "op7_packing": packing.op7_packing,
+    "op9_quality_rules": rules.op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
