@@ -58,11 +58,11 @@ class Lexicon:
     the state accepts before it; per word the first of its ids; the ids.
     """
 
-    HEAD = struct.Struct("<4I")
+    HEAD = "<4I"
 
     def __init__(self, block):
-        states, arcs, words, ids = self.HEAD.unpack_from(block, 0)
-        at = self.HEAD.size
+        states, arcs, words, ids = struct.unpack_from(self.HEAD, block, 0)
+        at = struct.calcsize(self.HEAD)
 
         def part(kind, n):
             nonlocal at
@@ -135,7 +135,7 @@ class Lexicon:
         ids = [i for w in order for i in words[w]]
         parts = [np.array(first, "<u4"), np.array([finals[s] for s in by_number], "u1"), np.array(label, "u1"),
                  np.array(target, "<u4"), np.array(before, "<u4"), start.astype("<u4"), np.array(ids, "<u4")]
-        head = cls.HEAD.pack(len(finals), len(label), len(order), len(ids))
+        head = struct.pack(cls.HEAD, len(finals), len(label), len(order), len(ids))
         return head + b"".join(p.tobytes() + b"\0" * (-p.nbytes % 8) for p in parts)
 
 
