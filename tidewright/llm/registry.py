@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, rules, simhash, unigram
+from . import bpe, lines, packing, pii, rules, simhash, unigram
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
     "op4_token_counts": unigram.op4_token_counts,
+    "op5_pii": pii.op5_pii,
     "op7_packing": packing.op7_packing,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality_rules": rules.op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": lines.ORACLE,
+}
