@@ -7,7 +7,7 @@ merging.  The lexicon holds the most frequent words of the corpus (all texts
 are counted) with their ids: a minimal acyclic automaton with shared suffixes
 whose arcs carry word counts, so a walk yields the word's rank and with it its
 ids.  It is built once, broadcast as one block of bytes (at most
-``LEXICON_WORDS`` words, a few MB) and memory-mapped by every worker.
+``LEXICON_WORDS`` pieces, a few MB) and memory-mapped by every worker.
 
 Words outside the lexicon are merged by rank.  Pieces with characters whose
 normal form or case is not settled letter by letter (anything beyond ASCII and
@@ -35,7 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEXICON_WORDS = 65_536
+from .shared import cut, release
+
+LEXICON_WORDS = 1 << 17
 CACHE_PIECES = 250_000
 COUNT_PIECES = 400_000
 END = "</w>"
@@ -64,29 +66,28 @@ class Lexicon:
         states, arcs, words, ids = struct.unpack_from(self.HEAD, block, 0)
         at = struct.calcsize(self.HEAD)
 
-        def part(kind, n):
+        def part(kind, n, size):
             nonlocal at
-            out = np.frombuffer(block, kind, n, at)
-            at += -(-out.nbytes // 8) * 8
+            out = memoryview(block)[at:at + n * size].cast(kind)
+            at += -(-n * size // 8) * 8
             return out
 
-        self.first, self.final = part("<u4", states + 1), part("u1", states)
-        self.label, self.target, self.before = part("u1", arcs), part("<u4", arcs), part("<u4", arcs)
-        self.start, self.ids = part("<u4", words + 1), part("<u4", ids)
+        self.first, self.final = part("I", states + 1, 4), part("B", states, 1)
+        self.label, self.target, self.before = part("B", arcs, 1), part("I", arcs, 4), part("I", arcs, 4)
+        self.start, self.ids = part("I", words + 1, 4), part("I", ids, 4)
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
         state, rank = 0, 0
-        first, label = self.first, self.label
+        first, label, target, before = self.first, self.label, self.target, self.before
         for byte in word:
-            lo, hi = int(first[state]), int(first[state + 1])
-            arc = lo + int(label[lo:hi].searchsorted(byte))
-            if arc == hi or label[arc] != byte:
+            arc, end = first[state], first[state + 1]
+            while arc < end and label[arc] < byte:  # arcs ascend by label
+                arc += 1
+            if arc == end or label[arc] != byte:
                 return None
-            rank += int(self.before[arc])
-            state = int(self.target[arc])
-        if not self.final[state]:
-            return None
-        return tuple(self.ids[int(self.start[rank]):int(self.start[rank + 1])].tolist())
+            rank += before[arc]
+            state = target[arc]
+        return tuple(self.ids[self.start[rank]:self.start[rank + 1]]) if self.final[state] else None
 
     @classmethod
     def build(cls, words: dict[bytes, tuple[int, ...]]) -> bytes:
@@ -178,14 +179,19 @@ class Encoder:
     def merge(self, word: str) -> tuple[int, ...]:
         parts = [self.symbols[b] for b in word.encode()]
         parts[-1] += END
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            pairs = [ranks.get(p, none) for p in zip(parts, parts[1:])]
+        rank, none = self.ranks.get, len(self.ranks)
+        pairs = [rank(p, none) for p in zip(parts, parts[1:])]
+        while pairs:
             low = min(pairs)
             if low == none:
                 break
             at = pairs.index(low)
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            parts[at] += parts.pop(at + 1)
+            pairs.pop(at)
+            if at:
+                pairs[at - 1] = rank((parts[at - 1], parts[at]), none)
+            if at < len(pairs):
+                pairs[at] = rank((parts[at], parts[at + 1]), none)
         return tuple(self.vocab[p] for p in parts)
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -223,8 +229,11 @@ class Pieces(dict):
         return out
 
 
-def frequent(docs: DataFrame, top: int = LEXICON_WORDS) -> list[str]:
-    """The ``top`` most frequent white-space-free lower-case pieces of all texts, ties by text."""
+def frequent(docs: DataFrame, share: int = LEXICON_WORDS) -> list[str]:
+    """The white-space-free lower-case pieces that make up at least one in ``share`` of the repeated pieces of all texts.
+
+    There can be no more than ``share`` of them, which bounds what reaches the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -244,14 +253,17 @@ def frequent(docs: DataFrame, top: int = LEXICON_WORDS) -> list[str]:
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
     counts = texts.mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    rows = counts.where((F.col("n") > 1) & (F.octet_length("piece") <= 64)).orderBy(F.desc("n"), "piece").limit(top).collect()
-    return [bytes(r.piece).decode() for r in rows]
+    counts = cut(counts.where((F.col("n") > 1) & (F.octet_length("piece") <= 64)))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") * share >= total).select("piece").collect()
+    release(counts)
+    return sorted(bytes(r.piece).decode() for r in rows)
 
 
-def lexicon(docs: DataFrame, path: str, top: int = LEXICON_WORDS) -> bytes:
+def lexicon(docs: DataFrame, path: str, share: int = LEXICON_WORDS) -> bytes:
     """The transducer of the corpus' frequent words."""
     enc = Encoder(path)
-    words = {w for p in frequent(docs, top) if PLAIN.fullmatch(p) and "<|" not in p for w in WORDS.findall(p.lower())}
+    words = {w for p in frequent(docs, share) if PLAIN.fullmatch(p) and "<|" not in p for w in WORDS.findall(p.lower())}
     return Lexicon.build({w.encode(): enc.word(w) for w in words})
 
 
