@@ -26,6 +26,19 @@ def test_pieces_encode_as_the_library_does():
         assert [i for p in t.encode().split() for i in enc.piece(p)] == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_library_ids_tell_pieces_apart(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
+    path = bpe.default_path()
+    tok, store = bpe.library(path), bpe.LibraryIds(path)
+    for at in range(0, len(texts()), 40):
+        part = texts()[at:at + 40]
+        for t, ids in zip(part, store.texts([t.encode().split() for t in part])):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert list(store.texts([[], []])) == [b"", b""]
+
+
 def test_lexicon_shares_suffixes():
     block = bpe.Lexicon.build({w: (i,) for i, w in enumerate([b"walking", b"talking", b"walked", b"talked", b"walk", b"talk"])})
     lex = bpe.Lexicon(block)

@@ -335,7 +335,51 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(docs, path, lexicon(docs, path))
 
 
-def id_bytes(path: str) -> Pieces:
-    """A store of pieces' ids as little-endian 32-bit numbers, encoded by the library."""
-    tok = library(path)
-    return Pieces(lambda p: np.array(tok.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+class LibraryIds:
+    """Ids of white-space-free pieces as little-endian 32-bit numbers, encoded by the library many at a time.
+
+    Pieces that are not in the store are joined by spaces, encoded in one call
+    and told apart by counting ends of words.
+    """
+
+    def __init__(self, path: str):
+        self.library = library(path)
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(END)]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, pieces: list[bytes]) -> None:
+        texts, words = [], []
+        for p in pieces:
+            text = p.decode()
+            if len(text) > 200 or "<|" in text or not PLAIN.fullmatch(text):
+                self.known[p] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                texts.append(text)
+                words.append(p)
+        ids = np.array(self.library.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
+        count = np.cumsum([len(WORDS.findall(t.lower())) for t in texts], dtype=np.int64)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4)[count - 1].tolist() if texts else []
+        raw, at = ids.tobytes(), 0
+        for p, end in zip(words, cuts, strict=True):
+            self.known[p] = raw[at:end]
+            at = end
+
+    def texts(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        """The ids of each text, given as its pieces."""
+        if len(self.known) > CACHE_PIECES:
+            self.known, self.old = {}, self.known
+        new = list(set().union(*texts).difference(self.known))
+        known, old = self.known, self.old
+        fresh = []
+        for p in new:
+            if p in old:
+                known[p] = old[p]
+            else:
+                fresh.append(p)
+        for at in range(0, len(fresh), 2000):
+            self._encode(fresh[at:at + 2000])
+        for t in texts:
+            yield b"".join(map(known.__getitem__, t))

@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import default_path, id_bytes
+from .bpe import LibraryIds, default_path
 from .shared import cut
 
 WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 16_000_000
 SHARD_PIECES = 200_000
+TOGETHER = 200_000  # words of texts that are encoded together
 PIECE = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -87,17 +88,28 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """The cut documents: start, length and CRC-32 of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = id_bytes(path), np.array([END_ID], "<u4").tobytes()
-        for b in batches:
+        store, end = LibraryIds(path), np.array([END_ID], "<u4").tobytes()
+
+        def cut_up(rows: list[tuple]) -> pa.RecordBatch:
             out: list[tuple] = []
-            for row, doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
-                ids = b"".join([cache[p] for p in (t.as_py() or b"").split()]) + end
+            for (row, doc, _), ids in zip(rows, store.texts([r[2] for r in rows])):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, n, window):
                     out.append((row, doc, at, min(window, n - at), zlib.crc32(ids[4 * at:4 * (at + window)]), n))
-            cols = zip(*out) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                             ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
+                                              ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+        for b in batches:
+            rows, words = [], 0
+            for row, doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
+                rows.append((row, doc, (t.as_py() or b"").split()))
+                words += len(rows[-1][2])
+                if words > TOGETHER:
+                    yield cut_up(rows)
+                    rows, words = [], 0
+            if rows:
+                yield cut_up(rows)
 
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                       F.col("text").cast("string").alias("text"))
