@@ -29,7 +29,7 @@ def test_pieces_encode_as_the_library_does():
 def test_library_ids_tell_pieces_apart(monkeypatch):
     import numpy as np
 
-    monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
+    monkeypatch.setattr(bpe, "STORE_PIECES", 50)
     path = bpe.default_path()
     tok, store = bpe.library(path), bpe.LibraryIds(path)
     for at in range(0, len(texts()), 40):

@@ -40,6 +40,7 @@ from .shared import cut, release
 LEXICON_WORDS = 1 << 17
 CACHE_PIECES = 250_000
 COUNT_PIECES = 400_000
+STORE_PIECES = 600_000
 END = "</w>"
 #: The splitting pattern of the tokenizer file, on lower-case ASCII and Latin-1 letters.
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9]|[^\\sa-zªµºß-öø-ÿ0-9]+")
@@ -369,7 +370,7 @@ class LibraryIds:
 
     def texts(self, texts: list[list[bytes]]) -> Iterator[bytes]:
         """The ids of each text, given as its pieces."""
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > STORE_PIECES:
             self.known, self.old = {}, self.known
         new = list(set().union(*texts).difference(self.known))
         known, old = self.known, self.old

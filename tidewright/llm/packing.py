@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import LibraryIds, default_path
-from .shared import cut
+from .shared import cut, kept
 
 WINDOW = 4096
 END_ID = 2
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """The cut documents: start, length and CRC-32 of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, end = LibraryIds(path), np.array([END_ID], "<u4").tobytes()
+        store, end = kept("ids", path, lambda: LibraryIds(path)), np.array([END_ID], "<u4").tobytes()
 
         def cut_up(rows: list[tuple]) -> pa.RecordBatch:
             out: list[tuple] = []

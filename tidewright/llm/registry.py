@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, packing, pii, rules, simhash, unigram
+from . import bpe, embeddings, langid, lines, packing, pii, rules, simhash, unigram, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
+    "op3_url_filter": urls.op3_url_filter,
     "op4_token_counts": unigram.op4_token_counts,
     "op5_pii": pii.op5_pii,
+    "op6_embedding_dedup": embeddings.op6_embedding_dedup,
     "op7_packing": packing.op7_packing,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality_rules": rules.op9_quality_rules,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLES: dict[str, str] = {

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +71,14 @@ def _release_all() -> None:
             return
 
 
+def kept(name: str, key: object, make: Callable[[], object]) -> object:
+    """An object that stays with the Python worker between its tasks: one per name, made anew for another key."""
+    store = sys.modules.setdefault("_tidewright_worker", types.ModuleType("_tidewright_worker")).__dict__
+    if name not in store or store[name][0] != key:
+        store[name] = (key, make())
+    return store[name][1]
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (u, v).
 
