@@ -41,13 +41,14 @@ def fold_runs(df: DataFrame, keys: list[str], order: list[Column], fields: dict[
     """
     grouped = df.groupBy(*keys).agg(ordered(order, fields).alias("rows"))
     plain = F.transform("rows", lambda r: F.struct(*[r[n].alias(n) for n in fields]))
-    grouped = grouped.select(*keys, plain.alias("rows"))
-    kind = grouped.schema["rows"].dataType
+    kind = grouped.select(plain.alias("rows")).schema["rows"].dataType
+    element, kind = kind.elementType.simpleString(), kind.simpleString()  # as text, all fields may be null
+    grouped = grouped.select(*keys, plain.cast(kind).alias("rows"))
 
     def step(acc: Column, r: Column) -> Column:
         last = F.element_at(acc, -1)
         merged = merge(last, r)
-        grown = F.struct(*[merged.get(n, last[n]).alias(n) for n in fields]).cast(kind.elementType)
+        grown = F.struct(*[merged.get(n, last[n]).alias(n) for n in fields]).cast(element)
         return F.when((F.size(acc) > 0) & F.coalesce(joins(F.get(acc, F.size(acc) - 1), r), F.lit(False)),
                       F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(r)))
 

@@ -88,6 +88,6 @@ scored as (
   select *, case when z > 1.0 or burst > 1.6 then 'high' when z < -0.5 and burst < 0.9 then 'low' else 'medium' end as energy,
          case when mode = 'game' then case when z >= 0.9 then 'peak' when z >= 0.75 then 'conflict' else 'filler' end else '' end as role from sc0),
 rng as (
-  select event_id, vod, sec::double as start, sec + 60.0 + (event_id % 17) * 90.0 as "end", floor(value)::bigint as score, kind as topic
+  select event_id, vod, sec::double as start, (sec + 60.0 + (event_id % 17) * 90.0)::double as "end", floor(value)::bigint as score, kind as topic
   from chat where event_id % 3 = 0)
 """
