@@ -48,8 +48,8 @@ def merge_chunk(df: DataFrame, keys: list[str], order: str = "start") -> DataFra
     """One row per group: bounds, majority topic, highest energy, joined summaries, best confidence, all reactions, highest z."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "summary"))), lambda r: r["summary"]), " ")
     return df.groupBy(*keys).agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), majority("topic", order).alias("topic"),
-        energy_name(F.max(energy_rank(F.col("energy")))).alias("energy"), F.substring(text, 1, 140).alias("summary"),
+        majority("topic", order).alias("topic"), F.substring(text, 1, 140).alias("summary"), F.min("start").alias("start"),
+        F.max("end").alias("end"), energy_name(F.max(energy_rank(F.col("energy")))).alias("energy"),
         F.max("confidence").alias("confidence"), F.sum("reactions").alias("reactions"), F.max("z").alias("z"),
         F.count("*").alias("n"))
 
@@ -155,8 +155,8 @@ def flatten(df: DataFrame, keys: list[str], keep: str, gap: float, need_block: b
     runs = islands(d, keys, ["start", "end"], ~(F.coalesce(same, F.lit(False)) & F.coalesce(near, F.lit(False))), "range")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("start", "id"))), lambda r: r["id"])
     return runs.groupBy(*keys, "range").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), majority("topic", "start").alias("topic"),
-        energy_name(F.max(energy_rank(F.col("energy")))).alias("energy"), ids.alias("burst_ids"))
+        majority("topic", "start").alias("topic"), ids.alias("burst_ids"), F.min("start").alias("start"), F.max("end").alias("end"),
+        energy_name(F.max(energy_rank(F.col("energy")))).alias("energy"))
 
 
 def range_stats(ranges: DataFrame, windows: DataFrame, keys: list[str], bucket: float) -> DataFrame:
