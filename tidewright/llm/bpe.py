@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, release
+from .shared import cut, kept, release
 
 LEXICON_WORDS = 1 << 17
 CACHE_PIECES = 250_000
@@ -307,8 +307,9 @@ def digests(docs: DataFrame, path: str, block: bytes | None = None) -> DataFrame
     with its ids written out and decoded, so that neither long form is built.
     """
     shared = docs.sparkSession.sparkContext.broadcast(block) if block else None
+    mark = hashlib.sha256(block or b"").hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store() -> Pieces:
         enc = Encoder(path, mapped(shared.value) if shared else None)
         tokens = {i: t for t, i in enc.library.get_vocab(with_added_tokens=True).items()}
 
@@ -316,7 +317,10 @@ def digests(docs: DataFrame, path: str, block: bytes | None = None) -> DataFrame
             ids = enc.piece(piece)
             return len(ids), b"".join(b"%d " % i for i in ids), "".join(tokens[i] + " " for i in ids).encode()
 
-        cache = Pieces(make)
+        return Pieces(make)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = kept("digests", (path, mark), store)
         for b in batches:
             n, written, decoded = [], [], []
             for t in b.column(1).cast(pa.binary()):
