@@ -57,7 +57,7 @@ def format_embedding_text(text: Column, chat: Column, chapter: Column, mode: Col
 
 def clean_chapter_name(c: Column) -> Column:
     """Lower case with spaces and punctuation as single underscores, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[ +&\-/\\()\[\]{}:;,.!?@#$%^*=|\"'`~_]+", "_"), "^_|_$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[ +&\-/\\()\[\]{}:;,.!?@#$%^*=|\"'`~_]+", "_"), r"^_|_\z", "")
 
 
 def safe_category(c: Column) -> Column:
