@@ -172,7 +172,7 @@ class Encoder:
         self.ranks = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
         self.library = library(path)
         self.lexicon = lexicon
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = Pieces(self._word)
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         rest = [b for b in range(256) if b not in set(keep)]
         self.symbols = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -195,22 +195,16 @@ class Encoder:
                 pairs[at] = rank((parts[at], parts[at + 1]), none)
         return tuple(self.vocab[p] for p in parts)
 
-    def word(self, word: str) -> tuple[int, ...]:
-        out = self.words.get(word)
-        if out is None:
-            out = self.lexicon.get(word.encode()) if self.lexicon else None
-            if out is None:
-                out = self.merge(word)
-            if len(self.words) >= CACHE_PIECES:
-                self.words.clear()
-            self.words[word] = out
-        return out
+    def _word(self, word: str) -> tuple[int, ...]:
+        out = self.lexicon.get(word.encode()) if self.lexicon else None
+        return self.merge(word) if out is None else out
 
     def piece(self, piece: bytes) -> tuple[int, ...]:
         text = piece.decode()
         if len(text) > 200 or "<|" in text or not PLAIN.fullmatch(text):
             return tuple(self.library.encode(text, add_special_tokens=False).ids)
-        return tuple(i for w in WORDS.findall(text.lower()) for i in self.word(w))
+        words = WORDS.findall(text.lower())
+        return self.words[words[0]] if len(words) == 1 else sum(map(self.words.__getitem__, words), ())
 
 
 class Pieces(dict):
@@ -233,7 +227,8 @@ class Pieces(dict):
 def frequent(docs: DataFrame, share: int = LEXICON_WORDS) -> list[str]:
     """The white-space-free lower-case pieces that make up at least one in ``share`` of the repeated pieces of all texts.
 
-    There can be no more than ``share`` of them, which bounds what reaches the driver.
+    There can be no more than ``share`` of them, which bounds what reaches the driver.  All texts are counted; pieces
+    that a task sees only once, which are far below the share, are not passed on.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +236,8 @@ def frequent(docs: DataFrame, share: int = LEXICON_WORDS) -> list[str]:
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+                [pa.array([p for p, n in seen.items() if n > 1], pa.binary()), pa.array([n for n in seen.values() if n > 1], pa.int64())],
+                ["piece", "n"])
 
         for b in batches:
             for t in b.column(0).cast(pa.binary()):
@@ -265,7 +261,7 @@ def lexicon(docs: DataFrame, path: str, share: int = LEXICON_WORDS) -> bytes:
     """The transducer of the corpus' frequent words."""
     enc = Encoder(path)
     words = {w for p in frequent(docs, share) if PLAIN.fullmatch(p) and "<|" not in p for w in WORDS.findall(p.lower())}
-    return Lexicon.build({w.encode(): enc.word(w) for w in words})
+    return Lexicon.build({w.encode(): enc.words[w] for w in words})
 
 
 def encode(docs: DataFrame, path: str, block: bytes | None = None) -> DataFrame:
@@ -313,21 +309,26 @@ def digests(docs: DataFrame, path: str, block: bytes | None = None) -> DataFrame
         enc = Encoder(path, mapped(shared.value) if shared else None)
         tokens = {i: t for t, i in enc.library.get_vocab(with_added_tokens=True).items()}
 
-        def make(piece: bytes) -> tuple[int, bytes, bytes]:
+        number = {i: b"%d " % i for i in tokens}
+        token = {i: f"{t} ".encode() for i, t in tokens.items()}
+
+        def make(piece: bytes) -> tuple[bytes, bytes]:
             ids = enc.piece(piece)
-            return len(ids), b"".join(b"%d " % i for i in ids), "".join(tokens[i] + " " for i in ids).encode()
+            return b"".join([number[i] for i in ids]), b"".join([token[i] for i in ids])
 
         return Pieces(make)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = kept("digests", (path, mark), store)
+        known = kept("digests", (path, mark), store).__getitem__
         for b in batches:
             n, written, decoded = [], [], []
             for t in b.column(1).cast(pa.binary()):
-                got = [cache[p] for p in (t.as_py() or b"").split()]
-                n.append(sum([g[0] for g in got]))
-                written.append(hashlib.sha256(b"".join([g[1] for g in got])[:-1]).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([g[2] for g in got])[:-1]).hexdigest())
+                pieces = (t.as_py() or b"").split()
+                numbers, tokens = zip(*map(known, pieces)) if pieces else ((), ())
+                whole = b"".join(numbers)
+                n.append(whole.count(b" "))
+                written.append(hashlib.sha256(whole[:-1]).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(tokens)[:-1]).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(written), pa.array(decoded)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
