@@ -193,11 +193,11 @@ def topic_continuity(df: DataFrame, keys: list[str], gap: float = 40.0) -> DataF
     return out.withColumn("energy", energy_name(F.col("energy")))
 
 
-def title_numbers(df: DataFrame, keys: list[str], near: float) -> DataFrame:
+def title_numbers(df: DataFrame, keys: list[str], near: float, order: tuple[str, ...] = ("start",)) -> DataFrame:
     """Clips near each other share the first one's title, numbered from the second on."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    d = islands(df, keys, ["start"], F.col("start") - F.lag("end").over(w) > near, "_run")
-    g = Window.partitionBy(*keys, "_run").orderBy("start")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    d = islands(df, keys, list(order), F.col("start") - F.lag("end").over(w) > near, "_run")
+    g = Window.partitionBy(*keys, "_run").orderBy(*order)
     n = F.row_number().over(g)
     return d.withColumn("title", F.when(n == 1, F.col("title")).otherwise(F.concat(F.first("title").over(g), F.lit(" "), n))).drop("_run")
 

@@ -131,9 +131,9 @@ def intro_adjust(df: DataFrame, z: str, role: str, keys: list[str], order: str,
                          ).drop("_seen", "_other", "_target")
 
 
-def gap_after(start: str, end: str, keys: list[str], clamp: bool = False) -> Column:
+def gap_after(start: str, end: str, keys: list[str], clamp: bool = False, tie: tuple[str, ...] = ()) -> Column:
     """Seconds to the next row's start, null at the end of a group."""
-    gap = F.lead(start).over(Window.partitionBy(*keys).orderBy(start)) - F.col(end)
+    gap = F.lead(start).over(Window.partitionBy(*keys).orderBy(start, *tie)) - F.col(end)
     return F.greatest(F.lit(0.0), gap) if clamp else gap
 
 

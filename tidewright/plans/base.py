@@ -52,8 +52,8 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """Overlapping ranges of uneven length: one per event of kind purchase or error, with a score."""
-    c = chat(spark, sf).where("event_id % 3 = 0")
+    """Overlapping ranges of uneven length: one per event, with a score."""
+    c = chat(spark, sf)
     length = 60.0 + (F.col("event_id") % 17) * 90.0
     return c.select("event_id", "vod", F.col("sec").cast("double").alias("start"), (F.col("sec") + length).alias("end"),
                     F.floor(F.col("value")).cast("long").alias("score"), F.col("kind").alias("topic"))
@@ -89,5 +89,5 @@ scored as (
          case when mode = 'game' then case when z >= 0.9 then 'peak' when z >= 0.75 then 'conflict' else 'filler' end else '' end as role from sc0),
 rng as (
   select event_id, vod, sec::double as start, (sec + 60.0 + (event_id % 17) * 90.0)::double as "end", floor(value)::bigint as score, kind as topic
-  from chat where event_id % 3 = 0)
+  from chat)
 """

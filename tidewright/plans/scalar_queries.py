@@ -51,9 +51,10 @@ def b08(spark, sf):
     return chat(spark, sf).where(F.col("sec").between(3600, 7200)).select("event_id", "sec")
 
 
-@query("b09_chat_sample", BASE + "select event_id from chat where vod = '2024-01-02' and sec % 3 = 0 order by sec, event_id limit 50")
+@query("b09_chat_sample", BASE + "select event_id from chat where sec % 3 = 0 qualify row_number() over (partition by vod order by sec, event_id) <= 50")
 def b09(spark, sf):
-    return chat(spark, sf).where("vod = '2024-01-02' and sec % 3 = 0").orderBy("sec", "event_id").limit(50).select("event_id")
+    d = chat(spark, sf).where("sec % 3 = 0").withColumn("rn", F.row_number().over(Window.partitionBy("vod").orderBy("sec", "event_id")))
+    return d.where("rn <= 50").select("event_id")
 
 
 @query("b10_chat_lag_shift", BASE + "select event_id, greatest(0, sec - 5) as sec from chat")
@@ -83,10 +84,9 @@ def l01(spark, sf):
     return d.select("doc_id", "token", F.col("n").cast("long").alias("n"))
 
 
-@query("l02_parse_reaction_hits", "select event_id, json_extract(props, '$.k')::int as k from events where event_id % 2 = 0")
+@query("l02_parse_reaction_hits", "select event_id, json_extract(props, '$.k')::int as k from events")
 def l02(spark, sf):
-    d = table(spark, sf, "events").where("event_id % 2 = 0")
-    return d.select("event_id", text.parse_reaction_hits(F.col("props"))["k"].alias("k"))
+    return table(spark, sf, "events").select("event_id", text.parse_reaction_hits(F.col("props"))["k"].alias("k"))
 
 
 @query("l03_extract_keywords")
@@ -103,9 +103,9 @@ def l04(spark, sf):
 CLEAN = r"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[ +&\-/\\()\[\]{{}}:;,.!?@#$%^*=|\"''`~_]+', '_', 'g'), '^_|_$', '', 'g'))"
 
 
-@query("l05_clean_chapter_name", DOCS + CLEAN.format(c="substr(text, 1, 40)").replace("trim(", "(", 1) + " as name from documents")
+@query("l05_clean_chapter_name", DOCS + CLEAN.format(c="text").replace("trim(", "(", 1) + " as name from documents")
 def l05(spark, sf):
-    return docs(spark, sf).select("doc_id", text.clean_chapter_name(F.coalesce(F.substring("text", 1, 40), F.lit(""))).alias("name"))
+    return docs(spark, sf).select("doc_id", text.clean_chapter_name(F.coalesce("text", F.lit(""))).alias("name"))
 
 
 @query("l06_safe_category", DOCS + "coalesce(nullif(" + CLEAN.format(c="case when doc_id % 3 = 0 then null else source || ' & Co.' end").replace("trim(", "(", 1) + ", ''), 'unknown') as name from documents")
@@ -147,17 +147,17 @@ def l12(spark, sf):
 
 @query("l13_title_case")
 def l13(spark, sf):
-    return docs(spark, sf).select("doc_id", text.title_case(F.substring("text", 1, 80)).alias("title"))
+    return docs(spark, sf).select("doc_id", text.title_case(F.col("text")).alias("title"))
 
 
 @query("l14_invalid_title")
 def l14(spark, sf):
-    return docs(spark, sf).select("doc_id", text.is_invalid_title(F.substring("text", 1, 80)).alias("invalid"))
+    return docs(spark, sf).select("doc_id", text.is_invalid_title(F.col("text")).alias("invalid"))
 
 
 @query("l15_clean_title")
 def l15(spark, sf):
-    return docs(spark, sf).select("doc_id", text.clean_title(F.substring("text", 1, 160), 70).alias("title"))
+    return docs(spark, sf).select("doc_id", text.clean_title(F.col("text"), 70).alias("title"))
 
 
 @query("l17_parse_source_arc", BASE + "select event_id, case when event_id % 2 = 0 then (event_id % 90)::int end as arc from chat")
@@ -202,7 +202,7 @@ def i10(spark, sf):
 
 @query("i19_jaccard_tokens")
 def i19(spark, sf):
-    return docs(spark, sf).select("doc_id", r6(text.jaccard_tokens(F.substring("text", 1, 300), F.lit("the boss fights and the others"))).alias("sim"))
+    return docs(spark, sf).select("doc_id", r6(text.jaccard_tokens(F.col("text"), F.lit("the boss fights and the others"))).alias("sim"))
 
 
 @query("i21_time_iou", BASE + """select a.event_id, round(case when least(a."end", b."end") > greatest(a.start, b.start) then (least(a."end", b."end") - greatest(a.start, b.start)) /

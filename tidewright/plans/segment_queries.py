@@ -242,20 +242,20 @@ def e09(spark, sf):
     return intervals.overlap_join(ranges(spark, sf), chapters(spark, sf), V, 21600.0).groupBy("vod", "chapter").agg(F.count("*").alias("n"))
 
 
-@query("e11_nearest", BASE + """, p as (select vod, sec, min(event_id) as oid from chat where kind = 'purchase' group by all), q as (select * from chat where event_id % 7 = 0),
+@query("e11_nearest", BASE + """, p as (select vod, sec, min(event_id) as oid from chat where kind = 'purchase' group by all), q as (select * from chat where kind <> 'purchase'),
  j as (select q.event_id, p.oid, abs(p.sec - q.sec) as dt, row_number() over (partition by q.event_id order by abs(p.sec - q.sec), p.sec) as r from q join p using (vod))
  select event_id, oid as match_id, dt from j where r = 1""")
 def e11(spark, sf):
     c = chat(spark, sf)
-    d = intervals.nearest(c.where("event_id % 7 = 0"), c.where("kind = 'purchase'"), V, "sec", "sec", "event_id", "event_id")
+    d = intervals.nearest(c.where("kind <> 'purchase'"), c.where("kind = 'purchase'"), V, "sec", "sec", "event_id", "event_id")
     return d.where("match_id is not null").select("event_id", "match_id", "dt")
 
 
 @query("e12_event_to_range", BASE + """, j as (select e.event_id, r.event_id as range_id, row_number() over (partition by e.event_id order by abs(r."end" - e.sec), r.event_id) as n
- from chat e join rng r on e.vod = r.vod and e.sec >= r.start and e.sec <= r."end" where e.event_id % 5 = 0) select event_id, range_id from j where n = 1""")
+ from chat e join rng r on e.vod = r.vod and e.sec >= r.start and e.sec <= r."end" ) select event_id, range_id from j where n = 1""")
 def e12(spark, sf):
     r = ranges(spark, sf).select("vod", F.col("event_id").alias("range_id"), "start", "end")
-    c = chat(spark, sf).where("event_id % 5 = 0").select("vod", "event_id", "sec")
+    c = chat(spark, sf).select("vod", "event_id", "sec")
     d = intervals.range_join(c, r, V, F.col("sec").cast("double"), F.col("start"), F.col("end"), 1800.0, True)
     return d.groupBy("event_id").agg(F.min_by("range_id", F.struct(F.abs(F.col("end") - F.col("sec")), "range_id")).alias("range_id"))
 
@@ -265,10 +265,10 @@ def e15(spark, sf):
     return windows(spark, sf).select("id").join(scored(spark, sf).where("energy = 'high'").select("id"), "id", "left_anti")
 
 
-@query("e16_atomic_span_enforce", BASE + """, sp as (select vod, start - 600 as s, "end" + 600 as e from scored where energy = 'high' and win % 5 = 0)
+@query("e16_atomic_span_enforce", BASE + """, sp as (select vod, start - 600 as s, "end" + 600 as e from scored where energy = 'high')
  select distinct w.id from win w join sp on w.vod = sp.vod and w.start < sp.e and w."end" > sp.s""")
 def e16(spark, sf):
-    sp = scored(spark, sf).where("energy = 'high' and win % 5 = 0").select("vod", (F.col("start") - 600).alias("b_start"), (F.col("end") + 600).alias("b_end"))
+    sp = scored(spark, sf).where("energy = 'high'").select("vod", (F.col("start") - 600).alias("b_start"), (F.col("end") + 600).alias("b_end"))
     return intervals.overlap_join(windows(spark, sf).select("id", "vod", "start", "end"), sp, V, 3600.0).select("id").distinct()
 
 
@@ -283,13 +283,12 @@ def f01(spark, sf):
     return intervals.merge_gap(ranges(spark, sf), V, 120.0)
 
 
-@query("f02_merge_topic", BASE + """, l as (select vod, list({'s': start, 'e': "end", 't': topic} order by start, "end") as l from (select * from rng qualify count(*) over (partition by vod, start, "end") = 1) group by vod),
+@query("f02_merge_topic", BASE + """, l as (select vod, list({'s': start, 'e': "end", 't': topic} order by start, "end", topic) as l from rng group by vod),
  r as (select vod, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: case when x[1].s - a[len(a)].e <= 10 or (a[len(a)].t = x[1].t and x[1].s - a[len(a)].e <= 600)
   then list_append(a[1:len(a)-1], {'s': a[len(a)].s, 'e': greatest(a[len(a)].e, x[1].e), 't': a[len(a)].t}) else list_concat(a, x) end) as r from l),
  u as (select vod, unnest(r) as r from r) select vod, r.s as start, r.e as "end", r.t as topic from u""")
 def f02(spark, sf):
-    d = ranges(spark, sf).withColumn("_n", F.count("*").over(Window.partitionBy("vod", "start", "end"))).where("_n = 1")
-    return intervals.merge_topic(d, V, 10.0, 600.0).select("vod", "start", "end", "topic")
+    return intervals.merge_topic(ranges(spark, sf), V, 10.0, 600.0).select("vod", "start", "end", "topic")
 
 
 @query("f03_pad_clip", BASE + """select event_id, greatest(0.0, start - 12) as start, least(86400.0, "end" + 8) as "end" from rng""")
@@ -351,7 +350,7 @@ def f08(spark, sf):
 
 @query("f11_merge_overlaps", BASE + """, o as (select *, max("end") over (partition by vod, topic order by start, "end" rows between unbounded preceding and 1 preceding) as reach from rng),
  b as (select *, sum(case when reach is null or start >= reach then 1 else 0 end) over (partition by vod, topic order by start, "end") as run from o)
- select vod, topic, min(start) as start, max("end") as "end", string_agg(event_id::varchar, ' → ' order by start, "end", event_id) as summary, count(*) as n from b group by vod, topic, run""")
+ select vod, topic, min(start) as start, max("end") as "end", string_agg(event_id::varchar, ' → ' order by start, "end", event_id::varchar) as summary, count(*) as n from b group by vod, topic, run""")
 def f11(spark, sf):
     d = ranges(spark, sf).withColumns({"summary": F.col("event_id").cast("string"), "burst_ids": F.array("event_id")})
     return intervals.merge_overlaps(d, ["vod", "topic"]).select("vod", "topic", "start", "end", "summary", F.size("burst_ids").cast("long").alias("n"))

@@ -13,12 +13,7 @@ from .segment_queries import MERGED
 from .series_queries import GATE, SAL, V, VC, salient
 
 
-def distinct_ranges(spark, sf):
-    d = ranges(spark, sf)
-    return d.withColumn("_n", F.count("*").over(Window.partitionBy("vod", "start"))).where("_n = 1").drop("_n")
-
-
-ONE = BASE + ", one as (select * from rng qualify count(*) over (partition by vod, start) = 1)\n"
+ONE = BASE + ", one as (select * from rng)\n"
 
 
 @query("g01_seed_budget", BASE + """, l as (select vod, count(*) filter (mode = 'jc') / count(*) as share, max("end") - min(start) as dur,
@@ -49,27 +44,27 @@ def g02(spark, sf):
     / ((y.e - y.s) + (x[1].e - x[1].s) - (least(y.e, x[1].e) - greatest(y.s, x[1].s))) >= 0.5))) = 0 then list_concat(a, x) else a end) as r from o),
  u as (select vod, unnest(r) as r from k) select vod, r.s as start, r.e as "end", r.c as score from u""")
 def g03(spark, sf):
-    return select.dedup_select(distinct_ranges(spark, sf), V, "score", 0.5, 1800.0, 0, ["score"]).select("vod", "start", "end", "score")
+    return select.dedup_select(ranges(spark, sf), V, "score", 0.5, 1800.0, 0, ["score"]).select("vod", "start", "end", "score")
 
 
-@query("g04_nms_start_order", ONE + """, o as (select vod, list({'s': start, 'e': "end", 'c': score} order by start) as l from one group by vod),
+@query("g04_nms_start_order", ONE + """, o as (select vod, list({'s': start, 'e': "end", 'c': score} order by start, score desc, "end") as l from one group by vod),
  k as (select vod, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: case when len(list_filter(a, lambda y: least(y.e, x[1].e) > greatest(y.s, x[1].s))) = 0 then list_concat(a, x) else a end) as r from o),
  u as (select vod, unnest(r) as r from k) select vod, r.s as start, r.e as "end", r.c as score from u""")
 def g04(spark, sf):
-    return select.nms_start_order(distinct_ranges(spark, sf), V, "score").select("vod", "start", "end", "score")
+    return select.nms_start_order(ranges(spark, sf), V, "score").select("vod", "start", "end", "score")
 
 
-@query("g05_suppress_dense_anchors", ONE + """, o as (select vod, list({'s': start, 'e': "end", 'c': score} order by start) as l from one group by vod),
+@query("g05_suppress_dense_anchors", ONE + """, o as (select vod, list({'s': start, 'e': "end", 'c': score} order by start, "end", score) as l from one group by vod),
  k as (select vod, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: case when x[1].s - a[len(a)].e < 1200 then
    case when x[1].c > a[len(a)].c then list_concat(a[1:len(a)-1], x) else a end else list_concat(a, x) end) as r from o),
  u as (select vod, unnest(r) as r from k) select vod, r.s as start, r.e as "end", r.c as salience from u""")
 def g05(spark, sf):
-    return select.suppress_dense(distinct_ranges(spark, sf), V, "start", "end", "score", 1200.0)
+    return select.suppress_dense(ranges(spark, sf), V, "start", "end", "score", 1200.0)
 
 
 @query("g06_event_nms")
 def g06(spark, sf):
-    d = distinct_ranges(spark, sf).withColumn("ts", F.col("end"))
+    d = ranges(spark, sf).withColumn("ts", F.col("end"))
     return select.event_nms(d, V, "ts", "score", ["event_id"], 20.0, 3600.0, 5.0).select("vod", "ts", "score", "event_id")
 
 
@@ -122,7 +117,7 @@ def g12(spark, sf):
     return rated(spark, sf).where("duration between 300 and 5400 and rating >= 25 and hype >= 10").select("id")
 
 
-@query("g13_dedup_arcs", ONE + """, o as (select vod, list({'s': start, 'e': "end", 'r': event_id % 2 = 0, 'c': score} order by start) as l from one group by vod),
+@query("g13_dedup_arcs", ONE + """, o as (select vod, list({'s': start, 'e': "end", 'r': event_id % 2 = 0, 'c': score} order by start, "end", event_id % 2 = 0, score) as l from one group by vod),
  k as (select vod, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: case when list_position(list_transform(a, lambda y: abs(y.s - x[1].s) < 120 or
     least(y.e, x[1].e) - greatest(y.s, x[1].s) > 0.5 * least(y.e - y.s, x[1].e - x[1].s)), true) is null or list_position(list_transform(a, lambda y: abs(y.s - x[1].s) < 120 or
     least(y.e, x[1].e) - greatest(y.s, x[1].s) > 0.5 * least(y.e - y.s, x[1].e - x[1].s)), true) = 0 then list_concat(a, x)
@@ -130,7 +125,7 @@ def g12(spark, sf):
      and ((x[1].r and not y.r) or (x[1].r = y.r and x[1].c > y.c)) then x[1] else y end) end) as r from o),
  u as (select vod, unnest(r) as r from k) select vod, r.s as start, r.e as "end", r.r as resolved, r.c as confidence from u""")
 def g13(spark, sf):
-    d = distinct_ranges(spark, sf).withColumns({"resolved": F.col("event_id") % 2 == 0, "confidence": F.col("score")})
+    d = ranges(spark, sf).withColumns({"resolved": F.col("event_id") % 2 == 0, "confidence": F.col("score")})
     return select.dedup_arcs(d, V)
 
 
@@ -277,9 +272,9 @@ def h20(spark, sf):
 
 
 @query("h22_range_stats", BASE + """select r.event_id, round(avg(greatest(0.0, z)), 6) as avg_z, coalesce(bool_or(role = 'peak'), false) as has_peak, coalesce(bool_or(role = 'conflict'), false) as has_conflict
- from rng r join scored w on r.vod = w.vod and w.start < r."end" and w."end" > r.start group by r.event_id, r.vod, r.start, r."end" qualify count(*) over (partition by r.vod, r.start) = 1""")
+ from rng r join scored w on r.vod = w.vod and w.start < r."end" and w."end" > r.start group by r.event_id""")
 def h22(spark, sf):
-    d = distinct_ranges(spark, sf)
+    d = ranges(spark, sf)
     s = grouping.range_stats(d, scored(spark, sf), V, 1800.0)
     return d.select("event_id", "vod", "start", "end").join(s, ["vod", "start", "end"]).select("event_id", r6("avg_z").alias("avg_z"), "has_peak", "has_conflict")
 
@@ -287,7 +282,7 @@ def h22(spark, sf):
 @query("h23_buildup_start", ONE + """select o.event_id, coalesce(least(min(w.start) filter (w.z <= 0.35 * 1.0), min(w.start) filter (w.role in ('build_up', 'conflict'))), o.start) as buildup
  from one o left join scored w on w.vod = o.vod and w.start < o.start and w.start >= o.start - 7200 group by o.event_id, o.start""")
 def h23(spark, sf):
-    d = distinct_ranges(spark, sf).withColumn("peak_z", F.lit(1.0))
+    d = ranges(spark, sf).withColumn("peak_z", F.lit(1.0))
     return grouping.buildup_start(d, scored(spark, sf), V, 7200.0).select("event_id", "buildup")
 
 
@@ -307,11 +302,11 @@ def h27(spark, sf):
     return d.groupBy("vod").agg(series.floor_quantile("d", 0.5).alias("before"), series.floor_quantile("d", 0.75).alias("after"))
 
 
-@query("h28_title_sequence", ONE + """, m as (select *, case when start - lag("end") over (partition by vod order by start) <= 600 then 0 else 1 end as b from one),
- r as (select *, sum(b) over (partition by vod order by start) as run from m), n as (select *, row_number() over g as n, first_value(topic) over g as first from r window g as (partition by vod, run order by start))
+@query("h28_title_sequence", ONE + """, m as (select *, case when start - lag("end") over (partition by vod order by start, event_id) <= 600 then 0 else 1 end as b from one),
+ r as (select *, sum(b) over (partition by vod order by start, event_id) as run from m), n as (select *, row_number() over g as n, first_value(topic) over g as first from r window g as (partition by vod, run order by start, event_id))
  select event_id, case when n = 1 then topic else first || ' ' || n end as title from n""")
 def h28(spark, sf):
-    return grouping.title_numbers(distinct_ranges(spark, sf).withColumn("title", F.col("topic")), V, 600.0).select("event_id", "title")
+    return grouping.title_numbers(ranges(spark, sf).withColumn("title", F.col("topic")), V, 600.0, ("start", "event_id")).select("event_id", "title")
 
 
 @query("h29_topic_thread", """with c as (select conv_id, turn, role, case when role = lag(role) over (partition by conv_id order by turn) then 0 else 1 end as b from conversations
@@ -507,12 +502,12 @@ TOKENS = ("gg", "lol", "ez", "om", "unknown")
 def resolutions(spark, sf):
     c = chat(spark, sf).withColumn("win", F.floor(F.col("sec") / 1800))
     token = F.element_at(F.array(*map(F.lit, TOKENS)), (F.col("event_id") % 5 + 1).cast("int"))
-    hits = c.where("event_id % 4 = 0").groupBy("vod", "win", token.alias("t")).count().groupBy("vod", "win").agg(
+    hits = c.groupBy("vod", "win", token.alias("t")).count().groupBy("vod", "win").agg(
         F.map_from_entries(F.collect_list(F.struct("t", F.col("count").cast("int")))).alias("hits"))
     return arcs.resolution_candidates(scored(spark, sf).join(hits, ["vod", "win"]), VC, "hits", "z", "burst")
 
 
-RES = BASE + """, tk as (select vod, sec // 1800 as win, ['gg', 'lol', 'ez', 'om', 'unknown'][event_id % 5 + 1] as t, count(*) as c from chat where event_id % 4 = 0 group by all),
+RES = BASE + """, tk as (select vod, sec // 1800 as win, ['gg', 'lol', 'ez', 'om', 'unknown'][event_id % 5 + 1] as t, count(*) as c from chat group by all),
  cf as (select *, case t when 'gg' then 0.95 when 'ez' then 0.75 when 'om' then 0.75 when 'lol' then 0.01 else 0.5 end as k from tk),
  sm as (select vod, win, sum(k * least(3.0, c)) as s, bool_or(k >= 0.75) as sure from cf group by all),
  rc as (select s.vod, s.chapter, s."end" as ts, (m.s + case when z >= 0.6 then 0.2 else 0 end + case when burst >= 1.3 then 0.2 else 0 end)::double as score, sure from scored s join sm m using (vod, win)),
@@ -531,17 +526,17 @@ def j15(spark, sf):
     return d.select("token", text.token_confidence(F.col("token")).alias("confidence"))
 
 
-@query("j17_apply_resolution", RES + """, j as (select r.event_id, r.start, r."end", max(struct_pack(s := round(e.score, 9), t := ts)) as b from one2 r join rs e on e.vod = r.vod and ts <= r."end" and ts >= r.start
-  and ts >= r."end" - greatest(120.0, 0.5 * (r."end" - r.start)) and ts >= r.start + 0.6 * (r."end" - r.start) group by all) select event_id, b.t as resolution_ts from j""".replace("one2", "(select * from rng qualify count(*) over (partition by vod, start) = 1)"))
+@query("j17_apply_resolution", RES + """, j as (select r.event_id, r.start, r."end", max(struct_pack(s := round(e.score, 9), t := ts)) as b from rng r join rs e on e.vod = r.vod and ts <= r."end" and ts >= r.start
+  and ts >= r."end" - greatest(120.0, 0.5 * (r."end" - r.start)) and ts >= r.start + 0.6 * (r."end" - r.start) group by all) select event_id, b.t as resolution_ts from j""")
 def j17(spark, sf):
     e = resolutions(spark, sf).withColumn("score", F.round("score", 9))
-    d = arcs.apply_resolution(distinct_ranges(spark, sf), e, V)
+    d = arcs.apply_resolution(ranges(spark, sf), e, V)
     return d.where("has_resolution").select("event_id", "resolution_ts")
 
 
 @query("j18_reason_score", RES + """select vod, win, round(sum(case t when 'gg' then 0.95 when 'ez' then 0.75 when 'om' then 0.45 else 0.0 end)::double, 6) as score from (select distinct vod, win, t from tk) group by all""")
 def j18(spark, sf):
-    c = chat(spark, sf).where("event_id % 4 = 0").withColumn("win", F.floor(F.col("sec") / 1800))
+    c = chat(spark, sf).withColumn("win", F.floor(F.col("sec") / 1800))
     token = F.element_at(F.array(*map(F.lit, TOKENS)), (F.col("event_id") % 5 + 1).cast("int"))
     return c.groupBy("vod", "win").agg(F.collect_set(token).alias("r")).select("vod", "win", r6(text.reason_score(F.col("r"))).alias("score"))
 
@@ -572,13 +567,13 @@ def j22(spark, sf):
 
 @query("j01_cluster_ranges")
 def j01(spark, sf):
-    return arcs.cluster_ranges(distinct_ranges(spark, sf), V, 1800.0, 5400.0, 0.55).select("vod", "start", "end", "n")
+    return arcs.cluster_ranges(ranges(spark, sf), V, 1800.0, 5400.0, 0.55).select("vod", "start", "end", "n")
 
 
 @query("j23_climax_enhance", ONE + """, j as (select o.event_id, w.start, z, reactions, round(0.4 * z + 0.3 * burst + 0.3 * reactions, 9) as pick, 0.4 * z + 0.3 * burst + 0.1 * reactions as told from one o join scored w on w.vod = o.vod and w.start <= o."end" + 30 and w."end" >= o.start - 30)
  select event_id as arc, first(start order by pick desc, start) as climax_start, round(first(told order by pick desc, start), 5) as climax_score, round(max(z), 6) as peak_z, sum(reactions)::bigint as reactions from j group by event_id""")
 def j23(spark, sf):
-    a = distinct_ranges(spark, sf).select("vod", F.col("event_id").alias("arc"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    a = ranges(spark, sf).select("vod", F.col("event_id").alias("arc"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     d = arcs.climax(a, scored(spark, sf), V)
     return d.select("arc", "climax_start", F.round("climax_score", 5).alias("climax_score"), r6("peak_z").alias("peak_z"), F.col("reactions").cast("long").alias("reactions"))
 

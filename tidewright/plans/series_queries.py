@@ -132,13 +132,10 @@ def c18(spark, sf):
     return series.intro_adjust(d, "z", "part", VC, "win").select("vod", "win", r6("z").alias("z"), r6("z_raw").alias("z_raw"), "z_adjusted")
 
 
-@query("c19_gaps", BASE + """select vod, event_id, round(lead(start) over (partition by vod order by start) - "end", 6) as gap from rng
- qualify count(*) over (partition by vod, start) = 1""")
+@query("c19_gaps", BASE + """select vod, event_id, round(lead(start) over (partition by vod order by start, event_id) - "end", 6) as gap from rng""")
 def c19(spark, sf):
-    from pyspark.sql import Window
-
-    d = ranges(spark, sf).withColumn("gap", series.gap_after("start", "end", V))
-    return d.withColumn("n", F.count("*").over(Window.partitionBy("vod", "start"))).where("n = 1").select("vod", "event_id", r6("gap").alias("gap"))
+    d = ranges(spark, sf).withColumn("gap", series.gap_after("start", "end", V, tie=("event_id",)))
+    return d.select("vod", "event_id", r6("gap").alias("gap"))
 
 
 @query("c20_gaps_clamped", BASE + """select vod, win, greatest(0.0, lead(start) over (partition by vod order by start) - "end") as gap from win""")
