@@ -47,7 +47,9 @@ def test_lexicon_shares_suffixes():
     assert bpe.Lexicon(bpe.Lexicon.build({})).get(b"a") is None
 
 
-def test_digests_encode_decode(spark):
+@pytest.mark.parametrize("together", [500_000, 37])
+def test_digests_encode_decode(spark, monkeypatch, together):
+    monkeypatch.setattr(bpe, "TOGETHER", together)
     path = bpe.default_path()
     tok = bpe.library(path)
     rows = [(i, t, i) for i, t in enumerate(texts())] + [(None, None, 1), (7, "again", 2), (7, "again", 2)]

@@ -41,6 +41,8 @@ LEXICON_WORDS = 1 << 17
 CACHE_PIECES = 250_000
 COUNT_PIECES = 400_000
 STORE_PIECES = 600_000
+WORD_CACHE = 150_000
+TOGETHER = 500_000  # ids that are written out at once
 END = "</w>"
 #: The splitting pattern of the tokenizer file, on lower-case ASCII and Latin-1 letters.
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9]|[^\\sa-zªµºß-öø-ÿ0-9]+")
@@ -172,7 +174,7 @@ class Encoder:
         self.ranks = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
         self.library = library(path)
         self.lexicon = lexicon
-        self.words = Pieces(self._word)
+        self.words = Pieces(self._word, WORD_CACHE)
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         rest = [b for b in range(256) if b not in set(keep)]
         self.symbols = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -208,16 +210,16 @@ class Encoder:
 
 
 class Pieces(dict):
-    """What ``make`` gives for a piece, in two generations of at most ``CACHE_PIECES``."""
+    """What ``make`` gives for a piece, in two generations of at most ``most`` pieces."""
 
-    def __init__(self, make: Callable[[bytes], object]):
-        self.make, self.old = make, {}
+    def __init__(self, make: Callable[[bytes], object], most: int = CACHE_PIECES):
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece: bytes):
         out = self.old.get(piece)
         if out is None:
             out = self.make(piece)
-        if len(self) >= CACHE_PIECES:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[piece] = out
@@ -296,41 +298,80 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+class Writer:
+    """Byte strings of ids, joined for whole arrays of ids at once."""
+
+    def __init__(self, texts: list[bytes]):
+        size = np.array([len(t) for t in texts], np.int64)
+        self.size, self.start = size, np.cumsum(size) - size
+        self.pool = np.frombuffer(b"".join(texts), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The strings of all ids one after another, and where each ends."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[ids] - ends + size, size)
+        at += np.arange(len(at))
+        return self.pool[at].data, ends
+
+
 def digests(docs: DataFrame, path: str, block: bytes | None = None) -> DataFrame:
     """Per text the number of ids and the SHA-256 of the ids and of what they decode to.
 
-    The same stores as :func:`encode` and :func:`decode`, but a piece is kept
-    with its ids written out and decoded, so that neither long form is built.
+    The same stores as :func:`encode` and :func:`decode`; ids and tokens are
+    written out and hashed for many texts at once, a long text in parts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(block) if block else None
     mark = hashlib.sha256(block or b"").hexdigest()
 
-    def store() -> Pieces:
+    def store() -> tuple[Pieces, Writer, Writer]:
         enc = Encoder(path, mapped(shared.value) if shared else None)
         tokens = {i: t for t, i in enc.library.get_vocab(with_added_tokens=True).items()}
+        order = range(max(tokens) + 1)
+        return (Pieces(lambda p: np.array(enc.piece(p), "<u4").tobytes(), STORE_PIECES),
+                Writer([b"%d " % i for i in order]), Writer([f"{tokens.get(i, '')} ".encode() for i in order]))
 
-        number = {i: b"%d " % i for i in tokens}
-        token = {i: f"{t} ".encode() for i, t in tokens.items()}
-
-        def make(piece: bytes) -> tuple[bytes, bytes]:
-            ids = enc.piece(piece)
-            return b"".join([number[i] for i in ids]), b"".join([token[i] for i in ids])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, *writers = kept("digests", (path, mark), store)
+        known = cache.__getitem__
+
+        def one(ids: np.ndarray) -> list[str]:
+            out = []
+            for w in writers:
+                h = hashlib.sha256()
+                for at in range(0, len(ids), TOGETHER):
+                    text, _ = w(ids[at:at + TOGETHER])
+                    h.update(text[:-1] if at + TOGETHER >= len(ids) else text)
+                out.append(h.hexdigest())
+            return out
 
-        return Pieces(make)
+        def many(rows: list[np.ndarray]) -> list[list[str]]:
+            ids = np.concatenate(rows)
+            last = np.cumsum([len(r) for r in rows])
+            out = []
+            for w in writers:
+                text, ends = w(ids)
+                cuts = np.concatenate([[0], ends])[np.concatenate([[0], last])].tolist()
+                out.append([hashlib.sha256(text[a:max(a, z - 1)]).hexdigest() for a, z in zip(cuts, cuts[1:])])
+            return list(zip(*out))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept("digests", (path, mark), store).__getitem__
         for b in batches:
-            n, written, decoded = [], [], []
+            n, hashes, held, size = [], [], [], 0
             for t in b.column(1).cast(pa.binary()):
-                pieces = (t.as_py() or b"").split()
-                numbers, tokens = zip(*map(known, pieces)) if pieces else ((), ())
-                whole = b"".join(numbers)
-                n.append(whole.count(b" "))
-                written.append(hashlib.sha256(whole[:-1]).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(tokens)[:-1]).hexdigest())
+                ids = np.frombuffer(b"".join(map(known, (t.as_py() or b"").split())), "<u4")
+                n.append(len(ids))
+                if held and size + len(ids) > TOGETHER:
+                    hashes += many(held)
+                    held, size = [], 0
+                if len(ids) > TOGETHER:
+                    hashes.append(one(ids))
+                else:
+                    held.append(ids)
+                    size += len(ids)
+            if held:
+                hashes += many(held)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(written), pa.array(decoded)],
+                [b.column(0), pa.array(n, pa.int64()), pa.array([h[0] for h in hashes], pa.string()), pa.array([h[1] for h in hashes], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
