@@ -76,7 +76,7 @@ def candidates(groups: DataFrame, windows: DataFrame, keys: list[str], cfg: Clip
     """Candidates from groups (start, end, anchor): a target length from the signals around, placed around the anchor,
     then gated by score, energy and wind-up.  ``windows`` has start, end, z, reactions, energy, mode.
     """
-    g = groups.withColumn("gid", F.xxhash64(*keys, "start", "end")).withColumns(
+    g = groups.select(*keys, "start", "end", "anchor").withColumn("gid", F.xxhash64(*keys, "start", "end")).withColumns(
         {"lo": F.greatest(F.lit(0.0), F.col("start") - cfg.context), "hi": F.col("end") + cfg.context})
     w = windows.select(*keys, F.col("start").alias("b_start"), F.col("end").alias("b_end"), "z", "reactions", "energy", "mode")
     around = intervals.overlap_join(g.select(*keys, "gid", F.col("lo").alias("start"), F.col("hi").alias("end")), w, keys, bucket)
