@@ -226,10 +226,10 @@ def k13(spark, sf):
     return windows(spark, sf).groupBy("vod").agg(F.array_join(F.array_distinct(F.transform(rows, lambda r: r["topic"])), ",").alias("topics"))
 
 
-@query("k14_narrative_rollup", BASE + "select vod, count(*) as n, round(avg(confidence), 9) as mean, count(*) filter (confidence >= 0.6) as high, count(*) filter (confidence >= 0.4 and confidence < 0.6) as mid, count(*) filter (confidence < 0.4) as low from win group by vod")
+@query("k14_narrative_rollup", BASE + "select vod, count(*) as n, round(avg(confidence), 11) as mean, count(*) filter (confidence >= 0.6) as high, count(*) filter (confidence >= 0.4 and confidence < 0.6) as mid, count(*) filter (confidence < 0.4) as low from win group by vod")
 def k14(spark, sf):
     c = F.col("confidence")
-    return windows(spark, sf).groupBy("vod").agg(F.count("*").alias("n"), F.round(F.avg(c), 9).alias("mean"), F.count_if(c >= 0.6).alias("high"),
+    return windows(spark, sf).groupBy("vod").agg(F.count("*").alias("n"), F.round(F.avg(c), 11).alias("mean"), F.count_if(c >= 0.6).alias("high"),
                                                  F.count_if((c >= 0.4) & (c < 0.6)).alias("mid"), F.count_if(c < 0.4).alias("low"))
 
 
