@@ -148,13 +148,14 @@ def _meet(ids: np.ndarray, mult: np.ndarray, vec: np.ndarray, label: np.ndarray,
 
 def neighbours(rows: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for rows of (vec_id, embedding, label)."""
+    kind = "float" if dict(rows.dtypes)["embedding"] == "array<float>" else "double"  # floats travel as floats
     src = cut(rows.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"),
-                          F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label")))
+                          F.col("embedding").cast(f"array<{kind}>").alias("embedding"), F.col("label").cast("long").alias("label")))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     first = F.min(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", "row")).alias("first")
     # adding zero folds -0.0 and 0.0 into one group
-    same = F.transform("embedding", lambda x: x + F.lit(0.0))
+    same = F.transform("embedding", lambda x: x + F.lit(0.0).cast(kind))
     classes = src.where(usable).groupBy("label", same.alias("embedding")).agg(first, F.count("*").alias("mult"))
     classes = cut(classes.select(F.col("first.row").alias("cls"), "first", "label", "embedding", "mult"))
 
@@ -203,7 +204,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
                 d = offs[a + 1] - offs[a]
                 if (np.diff(offs[a:z + 1]) != d).any():
                     continue  # keys of different lengths coincide only by chance
-                vec = flat[offs[a]:offs[z]].reshape(z - a, d)
+                vec = flat[offs[a]:offs[z]].reshape(z - a, d).astype(np.float64)
                 split = int((~right[a:z]).sum()) if lo[a] != hi[a] else 0
                 if lo[a] != hi[a] and split in (0, z - a):
                     continue
@@ -247,3 +248,16 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The same rows in DuckDB SQL, by comparing all vectors of a label.
+ORACLE = f"""
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach(a, c) as (select vec_id, vec_id from embeddings union select l.a, r.c from reach r join links l on l.b = r.a),
+low as (select a, min(c) as component_id from reach group by a), n as (select a, count(*) as n_links from links group by a)
+select e.vec_id, coalesce(n.n_links, 0)::bigint as n_links, low.component_id, e.vec_id = low.component_id as kept
+from embeddings e join low on low.a = e.vec_id left join n on n.a = e.vec_id
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_embedding_dedup": embeddings.ORACLE,
     "op8_line_dedup": lines.ORACLE,
+    "op9_quality_rules": rules.ORACLE,
 }

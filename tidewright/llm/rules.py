@@ -162,3 +162,29 @@ def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes)) + ", " + ", ".join(f"{m} long" for m in MEASURES)
     judged = plain.mapInArrow(run, schema).withColumn("fail_bits", fail_bits()).where(passes(policy))
     return judged.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
+#: The same rows in DuckDB SQL.
+ORACLE = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d),
+wi as (select doc_id, unnest(ws) as word, unnest(range(len(ws))) as i from w),
+win as (select doc_id, i, [word, lead(word, 1) over o, lead(word, 2) over o, lead(word, 3) over o, lead(word, 4) over o] as five,
+               lead(word, 4) over o is not null as whole, word = lead(word) over o as again
+        from wi window o as (partition by doc_id order by i)),
+rep as (select doc_id, i, count(*) over (partition by doc_id, five) as n from win where whole),
+cov as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) as p from rep where n > 1) group by doc_id),
+st as (select doc_id, count(*) filter (again) as n_stutter from win group by doc_id),
+ln as (select doc_id, unnest(string_split(t, chr(10))) as l from d),
+dl as (select doc_id, count(*) as n_lines, count(*) - count(distinct l) as n_dup_lines from ln where regexp_matches(l, '[^\x20\x09-\x0D]') group by doc_id),
+m as (select w.doc_id, len(ws) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+             coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines,
+             length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) as n_upper, length(t) - length(regexp_replace(t, '\p{L}', '', 'g')) as n_letters,
+             coalesce(n_stutter, 0) as n_stutter
+      from w left join cov using (doc_id) left join st using (doc_id) left join dl using (doc_id)),
+b as (select *, RULE_BITS as fail_bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & BASE_MASK <> 0 as base_failed,
+       fail_bits & KEPT_MASK = 0 as kept, fail_bits from b
+""".replace("RULE_BITS", "(" + " + ".join(f"case when {rule} then {BIT[name]} else 0 end" for name, rule in RULES.items()) + ")::bigint").replace(
+    "BASE_MASK", str(POLICIES["base"])).replace("KEPT_MASK", str(POLICIES["base"] | POLICIES[CURRENT]))
