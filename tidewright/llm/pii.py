@@ -74,7 +74,7 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?+)(?![A-Za-z0-9])",
          0.8, "iban|account|bank"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.5, "ssn|social security"),
-    Kind("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40})(?![A-Za-z0-9])", 0.6, "token|key|secret|password|AKIA"),
+    Kind("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-fA-F]{40})(?![A-Za-z0-9])", 0.6, "token|key|secret|password|AKIA"),
 )
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
