@@ -52,3 +52,72 @@ def test_templates_separate_bad_branches(spark, extra):
     assert {r.verdict for i, r in got.items() if i >= 1000 or i % 2} == {"allow"}
     assert got[0].template == "/spam/*.html"
     assert {r.template for i, r in got.items() if i >= 1000} == {"/*/*"}
+
+
+def brute_tree(pages, labels):
+    """Templates and smoothed purity with plain dictionaries: {page_id: (template, purity)}."""
+    import math
+    import re
+
+    is_id = re.compile(r"(?:[0-9][0-9._-]*|(?=[0-9a-f-]*[0-9])[0-9a-f-]{8,}|.*[0-9]{4,}.*)")
+
+    def shape(s):
+        ext = re.search(r"(\.[A-Za-z]{1,5})$", s)
+        ext = ext[1] if ext else ""
+        return "*" + ext if is_id.fullmatch(s[:len(s) - len(ext)]) else s
+
+    rows = {}
+    for p, url in pages:
+        host, path, _, says = base(url)
+        parts = [s for s in path.split("/") if s]
+        segs = [shape(parts[i]) if i < len(parts) else None for i in range(urls.DEPTH)] + ["**" if len(parts) > urls.DEPTH else None]
+        rows[p] = [host, segs, (), labels.get(p) if says is None else says == "block"]
+    for level in range(urls.DEPTH + 1):
+        nodes = {}
+        for host, segs, prefix, bad in rows.values():
+            c = nodes.setdefault((host, prefix), {}).setdefault(segs[level], [0, 0, 0])
+            c[0] += 1
+            c[1] += bad is False
+            c[2] += bad is True
+        for r in rows.values():
+            children, seg = nodes[(r[0], r[2])], r[1][level]
+            if seg is None:
+                continue
+            n, g, b = children[seg]
+            all_n, all_g, all_b = (sum(c[i] for c in children.values()) for i in range(3))
+            n1, n2 = g + b, all_g + all_b - g - b
+            own = n >= urls.MIN_PAGES and n >= urls.MIN_SHARE * all_n and n1 and n2 and 0 < all_b < all_b + all_g
+            if own:
+                q = all_b / (n1 + n2)
+                own = abs(b / n1 - (all_b - b) / n2) / math.sqrt(q * (1 - q) * (1 / n1 + 1 / n2)) > urls.Z
+            r[2] = (*r[2], seg if own or seg.startswith("*") else "*")
+    count = {}
+    for host, _, prefix, bad in rows.values():
+        for key in ((host, prefix), (host,), ()):
+            c = count.setdefault(key, [0, 0])
+            c[0] += bad is False
+            c[1] += bad is True
+
+    def towards(key, prior):
+        g, b = count[key]
+        return (b + urls.SMOOTH * prior) / (g + b + urls.SMOOTH)
+
+    g, b = count[()]
+    whole = (b + 1) / (g + b + 2)
+    return {p: ("/" + "/".join(r[2]), towards((r[0], r[2]), towards((r[0],), whole))) for p, r in rows.items()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_tree_equals_brute_force(spark, sf):
+    path = f"/root/testdata/{sf}"
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{path}/pages.parquet").select("page_id", "url").collect()]
+    labels = {r.doc_id: r.quality == 0 or r.toxic == 1 for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    want = brute_tree(pages, labels)
+    got = urls.op3_url_filter(spark, path).collect()
+    assert len(got) == len(pages)
+    url = dict(pages)
+    for r in got:
+        template, purity = want[r.page_id]
+        assert r.template == template and abs(r.purity - purity) < 1e-5
+        says = base(url[r.page_id])[3]
+        assert r.verdict == (says or ("block" if purity >= urls.PURITY else "allow"))
