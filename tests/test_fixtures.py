@@ -165,6 +165,19 @@ def test_reaction_hits(spark):
     assert one(spark, text.parse_reaction_hits(F.lit(None).cast("string"))) == {}
 
 
+def test_reaction_parts_occur_in_every_match(spark):
+    import re
+
+    from tidewright.functions import vocabulary as V
+
+    said = ["good   game", "GGEZZ", "ff 15", "Easy Clap", "let's go", "Re-Queueing", "F's in the chat", "return to main menu", "Aintnowaaayy", "that crazyy",
+            "PEPELAUGH", "Pepelaugh", "PauseChamp", "G.O.A.T.", "its over", "it's over", "died", "oh noooo", "q up", "ezz clap"]
+    for t in said:
+        for n in V.REACTIONS:
+            if re.search(V.reaction_pattern(n), t):
+                assert V.REACTION_PARTS.get(n, n.split(" ")[0]) in t.lower(), (n, t)
+
+
 def test_burst_mirror(spark):
     df = frame(spark, [("a", 0, 2.0), ("a", 1, 4.0), ("a", 2, 6.0)], "vod string, i int, r double")
     plain = rows(df.withColumn("b", F.round(series.burst_score("r", ["vod"], "i"), 3)), "i", "b")

@@ -26,9 +26,17 @@ def is_spam_message(c: Column) -> Column:
 
 
 def reaction_hits(c: Column, names=tuple(V.REACTIONS)) -> Column:
-    """map<token, count> of the reactions in a text, without zeros."""
-    counts = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.regexp_count(c, F.lit(V.reaction_pattern(n))) for n in names]))
-    return F.map_filter(counts, lambda k, v: v > 0)
+    """map<token, count> of the reactions in a text, without zeros.
+
+    A pattern is only tried on texts that hold its literal part in any case.
+    """
+    low = F.lower(c)
+
+    def count(n: str) -> Column:
+        return F.when(low.contains(V.REACTION_PARTS.get(n, n.split(" ")[0])), F.regexp_count(c, F.lit(V.reaction_pattern(n)))).otherwise(0)
+
+    found = F.filter(F.array(*[F.struct(F.lit(n).alias("k"), count(n).alias("v")) for n in names]), lambda x: x["v"] > 0)
+    return F.map_from_entries(found)
 
 
 def parse_reaction_hits(c: Column) -> Column:

@@ -33,13 +33,12 @@ def gap_sessions(df: DataFrame, keys: list[str], start: str, end: str, gap: floa
     return d.groupBy(*keys, "session").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n"))
 
 
-def knee_point(x: str) -> Column:
-    """Aggregate: the sorted value two after the largest second difference; of fewer than three values the last, 0 for none."""
-    v = F.array_sort(F.collect_list(x))
-    n = F.size(v)
-    bend = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(
-        (F.get(v, i + 2) - 2 * F.get(v, i + 1) + F.get(v, i)).alias("d"), (-i).alias("i")))
-    return F.when(n == 0, 0.0).when(n < 3, F.element_at(v, -1)).otherwise(F.get(v, 2 - F.array_max(bend)["i"]))
+def knee_point(df: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """(keys, knee): the sorted value at the largest second difference, the first of equals; of fewer than three values the last."""
+    w = Window.partitionBy(*keys).orderBy(x)
+    d = df.where(F.col(x).isNotNull()).withColumns({"_d": F.col(x) - 2 * F.lag(x, 1).over(w) + F.lag(x, 2).over(w), "_n": F.row_number().over(w)})
+    bend = F.when(F.col("_d").isNotNull(), F.struct("_d", -F.col("_n")))
+    return d.groupBy(*keys).agg(F.when(F.count("*") < 3, F.max(x)).otherwise(F.max_by(x, bend)).alias("knee"))
 
 
 def otsu_threshold(df: DataFrame, x: str, keys: list[str], bins: int = 50) -> DataFrame:
@@ -65,7 +64,7 @@ def otsu_threshold(df: DataFrame, x: str, keys: list[str], bins: int = 50) -> Da
 def pause_threshold(gaps: DataFrame, x: str, keys: list[str], default: float = 2.0) -> DataFrame:
     """(keys, threshold): the median of knee point, Otsu and 75th percentile of the positive gaps, 0.5 to 10 s."""
     pos = gaps.where(F.col(x) > 0)
-    a = pos.groupBy(*keys).agg(knee_point(x).alias("knee"), F.percentile(x, F.lit(0.75)).alias("p75"))
+    a = knee_point(pos, x, keys).join(pos.groupBy(*keys).agg(F.percentile(x, F.lit(0.75)).alias("p75")), keys)
     every = gaps.select(*keys).distinct()
     mid = F.get(F.array_sort(F.array("knee", "otsu", "p75")), F.lit(1))
     out = a.join(otsu_threshold(pos, x, keys), keys).select(*keys, F.greatest(F.lit(0.5), F.least(F.lit(10.0), mid)).alias("threshold"))

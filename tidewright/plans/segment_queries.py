@@ -57,7 +57,7 @@ KNEE = """, srt as (select vod, gap, row_number() over (partition by vod order b
 
 @query("d04_knee_point", GAPS + KNEE + "select vod, knee from knee")
 def d04(spark, sf):
-    return _gaps(spark, sf).groupBy("vod").agg(segments.knee_point("gap").alias("knee"))
+    return segments.knee_point(_gaps(spark, sf), "gap", V)
 
 
 OTSU = """, sp as (select vod, min(gap) as lo, max(gap) as hi, count(*) as n from pos group by vod),
