@@ -107,7 +107,8 @@ def fill_gaps(df: DataFrame, keys: list[str], keep: str, most: Column, allowed:
     """Rows between two kept rows that are at most ``most`` seconds apart, where ``allowed``."""
     w = Window.partitionBy(*keys).orderBy("start", "end")
     prev = F.last(F.when(F.col(keep), F.col("end")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    nxt = F.first(F.when(F.col(keep), F.col("start")), True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys).orderBy(F.desc("start"), F.desc("end"))
+    nxt = F.last(F.when(F.col(keep), F.col("start")), True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     ok = F.coalesce(F.greatest(F.lit(0.0), nxt - prev) <= most, F.lit(False))
     return df.withColumn(keep, F.col(keep) | (ok & (allowed if allowed is not None else F.lit(True))))
 

@@ -67,7 +67,9 @@ def nearest(points: DataFrame, times: DataFrame, keys: list[str], t: str, other:
     first = F.min("oid").over(Window.partitionBy(*keys, "t"))
     u = u.withColumn("oid", F.when(F.col("kind") == 0, first))
     left = F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(mark, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # what follows is what came before in the opposite order: such frames grow row by row, frames to the end are read anew
+    back = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("kind"), F.desc("oid"))
+    right = F.last(mark, True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     d = u.withColumns({"l": left, "r": right}).where("kind = 1")
     use_right = F.col("l").isNull() | (F.col("r").isNotNull() & (F.col("r.t") - F.col("t") < F.col("t") - F.col("l.t")))
     got = F.when(use_right, F.col("r")).otherwise(F.col("l"))
