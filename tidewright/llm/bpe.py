@@ -40,7 +40,7 @@ from .shared import cut, kept, release
 LEXICON_WORDS = 1 << 17
 CACHE_PIECES = 250_000
 COUNT_PIECES = 400_000
-STORE_PIECES = 600_000
+STORE_PIECES = 450_000
 WORD_CACHE = 150_000
 TOGETHER = 500_000  # ids that are written out at once
 END = "</w>"

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import forget
+
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 WINDOW = 5
@@ -102,6 +104,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     """(doc_id, measurements, fail_bits) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             rows = [measure(t.as_py() or b"") for t in b.column(1).cast(pa.binary())]
             cols = zip(*rows) if rows else [[]] * len(MEASURES)
@@ -152,6 +155,7 @@ def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             rows = [measure(t.as_py() or b"") for t in b.column(names.index("text")).cast(pa.binary())]
             cols = zip(*rows) if rows else [[]] * len(MEASURES)

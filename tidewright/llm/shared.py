@@ -79,6 +79,14 @@ def kept(name: str, key: object, make: Callable[[], object]) -> object:
     return store[name][1]
 
 
+def forget() -> None:
+    """Drop what earlier operators have left with this Python worker: stages that keep nothing should not pay for it."""
+    module = sys.modules.get("_tidewright_worker")
+    if module is not None:
+        for name in [n for n in vars(module) if not n.startswith("__")]:
+            delattr(module, name)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (u, v).
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, cut
+from .shared import components, cut, forget
 
 RADIUS = 3
 SHINGLE = 3
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             fps = [_signed(fingerprint(t.as_py(), width)) for t in b.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["row", "doc_id", "fp"])
