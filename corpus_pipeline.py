@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, lines, packing, pii, rules, shared, simhash
+from tidewright.llm import bpe, lines, near, packing, pii, rules, shared
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.dedup(docs)
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays."""
+    return near.dedup(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,11 +193,14 @@ def links(fps: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long").distinct()
 
 
-def _components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fp, root) of the distinct fingerprints and (root, first) with the first row of each component."""
+def _components(rows: DataFrame, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) of the distinct fingerprints and (root, first) with the first row of each component.
+
+    ``roots`` are (node, root) of wider links where the caller has them.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     classes = cut(rows.groupBy("fp").agg(first.alias("first")))
-    roots = components(links(classes))
+    roots = components(links(classes)) if roots is None else roots
     named = classes.join(roots, classes.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     return named.select("fp", "root"), named.groupBy("root").agg(F.min("first").alias("first"))
