@@ -4,9 +4,12 @@ Each kind proposes leftmost spans with one regular expression.  The expressions
 are anchored to the start of a run of their characters and use possessive
 repeats, so that scanning is linear in the text and long digit or letter runs
 neither backtrack nor recurse.  Validators then confirm (number ranges, Luhn,
-mod-97, digit counts) and words in the 40 characters before a span adjust its
-score.  The four base kinds keep every validated span whatever its score; the
-added kinds need ``THRESHOLD``.
+mod-97, digit counts) and words in the ``NEAR`` characters before and after a
+span adjust its score.  Spans of a kind that only separators (``BETWEEN``) part
+are a list: all share the words before its first and after its last, however
+long it is.  Other text between two spans of a kind belongs to both, and what
+lies beyond it to neither.  The four base kinds keep every validated span
+whatever its score; the added kinds need ``THRESHOLD``.
 
 Offsets are code points, end exclusive.  A null text is an empty one; rows are
 independent, so repeated rows and null ids are scanned like others.
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 LOCAL = "A-Za-z0-9._%+-"
 NEAR = 40
 THRESHOLD = 0.8
+BETWEEN = r"^(?:[^\p{L}]|(?<!\p{L})(?:and|or|und|oder|y|o|et|ou)(?!\p{L}))*+$"
 
 
 def _digits(hit: Column) -> Column:
@@ -85,13 +89,25 @@ def _located(kind: Kind) -> Column:
     both = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
     none = F.array().cast("array<struct<start:int,end:int,h:string,g:string>>")
 
+    def told_by(gap: Column, beyond: Column, at: int) -> Column:
+        return F.when((F.length(gap) <= NEAR) & gap.rlike(BETWEEN), beyond).otherwise(F.substring(gap, at, NEAR))
+
     def place(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["h"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("h"), F.substring(x["g"], -NEAR, NEAR).alias("g"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    placed = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), place)["out"]
+        before = told_by(x["g"], acc["told"], -NEAR)
+        span = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("h"), before.alias("g"))
+        return F.struct(end.alias("at"), before.alias("told"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    def follow(acc: Column, gap: Column) -> Column:
+        after = told_by(gap, acc["told"], 1)
+        return F.struct(after.alias("told"), F.concat(F.array(after), acc["out"]).alias("out"))
+
+    told = F.lit("").alias("told")
+    placed = F.aggregate(both, F.struct(F.lit(0).alias("at"), told, none.alias("out")), place)["out"]
+    ends = F.aggregate(F.reverse(F.slice(gaps, 2, F.size(hits))), F.struct(told, F.array().cast("array<string>").alias("out")), follow)["out"]
+    placed = F.zip_with(placed, ends, lambda x, after: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), x["h"].alias("h"), F.concat_ws("\n", x["g"], after).alias("g")))
     near = f"(?i){kind.near}"
 
     def scored(x: Column) -> Column:
