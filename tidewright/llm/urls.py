@@ -7,8 +7,8 @@ by the template of their path.  The tree is grown level by level from counts:
 1. segments whose form is that of an id (numbers, hexadecimal, dates, with or
    without an extension) become wildcards, so the table of distinct shapes per
    host, not that of URLs, goes on;
-2. below each node a literal branch stays only if it holds ``MIN_SHARE`` of the
-   node's pages and at least ``MIN_PAGES``; rarer ones are generalised;
+2. below each node a literal branch stays only if it holds at least ``MIN_PAGES``
+   pages, however large its host is; rarer ones are generalised;
 3. branches whose labelled share of bad pages does not differ significantly
    from that of their siblings (two proportions, ``Z`` standard errors) are
    statistically similar and are merged into one wildcard branch.
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-DEPTH = 4
 MIN_PAGES = 8
+# Former cuts that only the brute force of tests/llm/test_urls.py reads; nothing here does.
+DEPTH = 4
 MIN_SHARE = 0.01
 Z = 1.96
 SMOOTH = 10.0
@@ -59,8 +60,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def shapes(path: Column, depth: int = DEPTH) -> Column:
-    """The first ``depth`` segments of a path with ids as wildcards, and a mark for what lies deeper."""
+def shapes(path: Column) -> Column:
+    """All segments of a path with ids as wildcards."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
 
     def shape(s: Column) -> Column:
@@ -69,9 +70,7 @@ def shapes(path: Column, depth: int = DEPTH) -> Column:
         is_id = stem.rlike(r"^(?:[0-9][0-9._-]*|(?=[0-9a-f-]*[0-9])[0-9a-f-]{8,}|.*[0-9]{4,}.*)$")
         return F.when(is_id, F.concat(F.lit("*"), ext)).otherwise(s)
 
-    levels = [F.when(F.size(parts) >= i, shape(F.get(parts, F.lit(i - 1)))) for i in range(1, depth + 1)]
-    deep = F.when(F.size(parts) > depth, F.lit("**"))
-    return F.array(*levels, deep)
+    return F.transform(parts, shape)
 
 
 def _prior(good: Column, bad: Column, prior: Column) -> Column:
@@ -82,10 +81,11 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, shape, template, purity) from pages of (host, shape, bad); bad is null where there is no label."""
     good, bad = F.count_if(~F.col("bad")), F.count_if(F.col("bad"))
     tree = cut(pages.groupBy("host", "shape").agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad"))
-               .withColumn("prefix", F.array().cast("array<string>")))
+               .withColumns({"prefix": F.array().cast("array<string>"), "open": F.lit(True)}))
     sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
-    for level in range(DEPTH + 1):
-        child = tree.withColumn("seg", F.get("shape", F.lit(level))).groupBy("host", "prefix", "seg").agg(*sums)
+    level = 0
+    while not tree.where(F.col("open") & (F.size("shape") > level)).isEmpty():
+        child = tree.withColumn("seg", F.when(F.col("open"), F.get("shape", F.lit(level)))).groupBy("host", "prefix", "seg").agg(*sums)
         node = child.groupBy("host", "prefix").agg(
             F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
         b, g = F.col("bad"), F.col("good")
@@ -94,14 +94,19 @@ def templates(pages: DataFrame) -> DataFrame:
         pooled = F.col("all_bad") / (n1 + n2)
         z = F.abs(b / n1 - b2 / n2) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n2))
         apart = (n1 > 0) & (n2 > 0) & (pooled > 0) & (pooled < 1)
-        own = (F.col("n") >= MIN_PAGES) & (F.col("n") >= MIN_SHARE * F.col("all_n")) & F.when(apart, z > Z).otherwise(False)
+        own = (F.col("n") >= MIN_PAGES) & F.when(apart, z > Z).otherwise(False)
         name = F.when(F.col("seg").isNull(), F.lit(None)).when(own, F.col("seg")).when(
             F.col("seg").startswith("*"), F.col("seg")).otherwise(F.lit("*"))
         named = child.join(node, ["host", "prefix"]).select(
-            "host", "prefix", F.coalesce("seg", F.lit("")).alias("key"), name.alias("step"))
-        tree = cut(tree.withColumn("key", F.coalesce(F.get("shape", F.lit(level)), F.lit("")))
-                   .join(named, ["host", "prefix", "key"], "left").withColumn(
-            "prefix", F.when(F.col("step").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.array("step")))).drop("key", "step"))
+            "host", "prefix", F.coalesce("seg", F.lit("")).alias("key"), name.alias("step"), (F.col("all_n") < MIN_PAGES).alias("small"))
+        # no branch below a node of fewer than MIN_PAGES can be literal, so all its deeper segments are generalised at once
+        rest = F.transform(F.slice("shape", level + 1, F.greatest(F.size("shape"), F.lit(1))), lambda x: F.when(x.startswith("*"), x).otherwise(F.lit("*")))
+        here = F.when(F.col("open"), F.get("shape", F.lit(level)))
+        tree = cut(tree.withColumn("key", F.coalesce(here, F.lit(""))).join(named, ["host", "prefix", "key"], "left").withColumns({
+            "prefix": F.when(F.col("step").isNull(), F.col("prefix")).when(F.col("small"), F.concat("prefix", rest)).otherwise(
+                F.concat("prefix", F.array("step"))),
+            "open": F.col("step").isNotNull() & ~F.col("small")}).drop("key", "step", "small"))
+        level += 1
     leaf = tree.groupBy("host", "prefix").agg(*sums)
     by_host = leaf.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("bad").alias("host_bad"))
     whole = by_host.agg(((F.sum("host_bad") + 1) / (F.sum("host_good") + F.sum("host_bad") + 2)).alias("p")).first()[0]
