@@ -61,10 +61,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    A stage's table goes when the next one's is written, and so do the tables
+    that a stage made on its way.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared.work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, last = f"{shared.work_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with shared.scratch():
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last:
+            shared.delete(spark, last)
+        last = f"{base}/{name}"
+    out = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are in a table of their own
+    shared.delete(spark, base)
+    return out

@@ -6,23 +6,30 @@ the rank of a pair of neighbouring ranks is its place in the sorted distinct
 pairs.  Suffixes that share a prefix lie together in the suffix array, an
 interval of common prefix length; here the interval that matters for a suffix is
 that of its shortest prefix of ``min_words`` words, whose name is a pair of
-overlapping ranks.  Its first member, by (doc_id, place in the scan, line), is the
+overlapping ranks.  Its first member, by (doc_id, number of the row, line), is the
 copy that stays; all others are later copies and their lines go.  The same for
 the shortest stretch that ends at a line.  Both together cover exactly the lines
 of all maximal repeated runs of at least ``min_words`` words that have an earlier
-copy: a run of fewer words is left alone, however often it occurs.
+copy, for any ``min_words`` from 1 on: every stretch of such a run has its
+counterpart in the earlier copy, and the shortest stretches from each of its
+lines cover it.  The order of the alphabet is free in a suffix array; line ids
+follow the lines' hashes.  A run of fewer words is left alone, however often it
+occurs.
 
 Lines that occur once cannot be part of a repeat.  They are dropped after one
 count, and the sequences fall apart into islands of repeated lines; doubling
 stops at the longest stretch needed, at most ``min_words`` lines.
 
 Everything is DataFrame functions.  Counts and ranks are partial aggregates
-joined back, so a line that makes up a third of all lines is never gathered.
+joined back, so a line that makes up a third of all lines is never gathered, and
+a passage of very many copies meets its first copy by place, not by name.  Rows
+are numbered once, in a table of their own, so that jobs of different splits
+agree on them.
 
 Lines are split at \\n and compared whole; lines without a word are not part of
 the sequence and stay.  A null text stays null, repeated rows count as copies in
-scan order, null ids sort last, and extra columns are kept.  ``docs`` must be a
-scan of files, whose row numbers are the same each time they are read.
+the order of their numbers, null ids sort last, and extra columns are kept,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,16 +37,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, release
+from .shared import cut, free_name, numbered, release
 
 MIN_WORDS = 50
 WORD = r"[^ \t-\r]+"
 
 
-def _sequence(docs: DataFrame) -> DataFrame:
+def _sequence(docs: DataFrame, row: str) -> DataFrame:
     """(row, doc_id, idx, pos, words, h, h2): the lines that hold a word, numbered within their document."""
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                      F.col("text").cast("string").alias("text"))
+    src = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def line(x: Column, i: Column) -> Column:
         return F.struct(i.alias("pos"), F.regexp_count(x, F.lit(WORD)).alias("words"),
@@ -55,9 +61,9 @@ def _ranked(keys: DataFrame) -> DataFrame:
     return cut(keys.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("name", F.monotonically_increasing_id()))
 
 
-def _islands(docs: DataFrame, min_words: int) -> DataFrame:
+def _islands(docs: DataFrame, row: str, min_words: int) -> DataFrame:
     """Stretches of neighbouring repeated lines of at least ``min_words`` words, with rank ``r0`` of each line."""
-    lines = cut(_sequence(docs))
+    lines = cut(_sequence(docs, row))
     ids = lines.groupBy("h", "h2").count().where("count > 1").select("h", "h2")
     named = _ranked(ids)
     repeated = lines.join(named, ["h", "h2"]).drop("h", "h2").withColumnRenamed("name", "r0")
@@ -65,19 +71,22 @@ def _islands(docs: DataFrame, min_words: int) -> DataFrame:
     whole = Window.partitionBy("row", "island")
     out = (repeated.withColumn("island", island)
            .withColumn("cum", F.sum("words").over(whole.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("total", F.sum("words").over(whole)).where(F.col("total") >= min_words).drop("total"))
+           .withColumn("total", F.sum("words").over(whole)).where(F.col("total") >= min_words))
     out = cut(out)
     release(lines)
     return out
 
 
 def _stretches(seq: DataFrame, min_words: int) -> DataFrame:
-    """``seq`` with the lengths of the shortest stretches of ``min_words`` words that start (fwd) and end (bwd) at a line."""
-    w = Window.partitionBy("row", "island").orderBy("idx")
-    before = F.col("cum") - F.col("words")
-    fwd = F.coalesce(*[F.when(F.lead("cum", n - 1).over(w) - before >= min_words, n) for n in range(1, min_words + 1)])
-    bwd = F.coalesce(*[F.when(F.col("cum") - F.lag(before, n - 1).over(w) >= min_words, n) for n in range(1, min_words + 1)])
-    return seq.withColumn("fwd", fwd).withColumn("bwd", bwd)
+    """``seq`` with the lengths of the shortest stretches of ``min_words`` words that start (fwd) and end (bwd) at a line.
+
+    A line belongs to the stretch that starts at another if fewer than ``min_words`` words lie between their starts.
+    """
+    w, before = Window.partitionBy("row", "island"), F.col("cum") - F.col("words")
+    ahead = F.count("*").over(w.orderBy(before).rangeBetween(0, min_words - 1))
+    behind = F.count("*").over(w.orderBy("cum").rangeBetween(1 - min_words, 0))
+    return (seq.withColumn("fwd", F.when(before + min_words <= F.col("total"), ahead))
+            .withColumn("bwd", F.when(F.col("cum") >= min_words, behind)).drop("cum", "total", "words"))
 
 
 def _double(seq: DataFrame, k: int) -> DataFrame:
@@ -95,63 +104,74 @@ def _double(seq: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def _blocks(seq: DataFrame, longest: int) -> DataFrame:
+def _blocks(seq: DataFrame, rounds: int) -> DataFrame:
     """(row, doc_id, start, n, a, b): the stretches and their names; a stretch that occurs once has no name."""
-    w = Window.partitionBy("row", "island").orderBy("idx")
-    level = {n: n.bit_length() - 1 for n in range(1, longest + 1)}
-    a_fwd = F.coalesce(*[F.when(F.col("fwd") == n, F.col(f"r{k}")) for n, k in level.items()])
-    b_fwd = F.coalesce(*[F.when(F.col("fwd") == n, F.lead(f"r{k}", n - (1 << k)).over(w)) for n, k in level.items()])
-    a_bwd = F.coalesce(*[F.when(F.col("bwd") == n, F.lag(f"r{k}", n - 1).over(w)) for n, k in level.items()])
-    b_bwd = F.coalesce(*[F.when(F.col("bwd") == n, F.lag(f"r{k}", (1 << k) - 1).over(w)) for n, k in level.items()])
-    named = seq.withColumns({"a_fwd": a_fwd, "b_fwd": b_fwd, "a_bwd": a_bwd, "b_bwd": b_bwd})
-    two = F.array(
-        F.struct(F.col("idx").alias("start"), F.col("fwd").alias("n"), F.col("a_fwd").alias("a"), F.col("b_fwd").alias("b")),
-        F.struct((F.col("idx") - F.col("bwd") + 1).alias("start"), F.col("bwd").alias("n"), F.col("a_bwd").alias("a"),
-                 F.col("b_bwd").alias("b")))
-    return (named.select("row", "doc_id", F.explode(two).alias("x")).select("row", "doc_id", "x.*")
+    line = F.struct("idx", "fwd", "bwd", F.array(*[f"r{k}" for k in range(rounds + 1)]).alias("r"))
+    islands = seq.groupBy("row", "doc_id", "island").agg(F.array_sort(F.collect_list(line)).alias("ls"))
+
+    def named(i: Column, start: Column, n: Column) -> Column:
+        """A stretch by the ranks of its first and its last 2^level lines; ``i`` is its first line in the island."""
+        level = F.length(F.bin(n)) - 1
+        last = i + n - F.call_function("shiftleft", F.lit(1), level)
+        return F.struct(start.alias("start"), n.alias("n"), F.get(F.get("ls", i)["r"], level).alias("a"), F.get(F.get("ls", last)["r"], level).alias("b"))
+
+    both = F.transform("ls", lambda x, i: F.array(
+        named(i, x["idx"], x["fwd"].cast("int")),
+        named(i - x["bwd"].cast("int") + 1, x["idx"] - x["bwd"].cast("int") + 1, x["bwd"].cast("int"))))
+    return (islands.select("row", "doc_id", F.explode(F.flatten(both)).alias("x")).select("row", "doc_id", "x.*")
             .where("a is not null and b is not null").dropDuplicates(["row", "start", "n"]))
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, dels): the numbers of the lines to delete, by place of the document in the scan."""
-    seq = cut(_stretches(_islands(docs, min_words), min_words))
+def later_copies(docs: DataFrame, row: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """(row, dels): the numbers of the lines to delete, by the number of the document's row (column ``row`` of ``docs``)."""
+    if min_words < 1:
+        raise ValueError("min_words must be 1 or more")
+    seq = cut(_stretches(_islands(docs, row, min_words), min_words))
     longest = seq.agg(F.greatest(F.max("fwd"), F.max("bwd"))).first()[0] or 1
-    for k in range(longest.bit_length() - 1):
+    rounds = longest.bit_length() - 1
+    for k in range(rounds):
         seq = _double(seq, k)
-    blocks = cut(_blocks(seq, longest))
+    blocks = cut(_blocks(seq, rounds))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    first = blocks.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    later = blocks.join(first, ["n", "a", "b"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+    first = blocks.groupBy("n", "a", "b").agg(F.min(place).alias("first")).select("first.row", "first.start", "n")
+    later = blocks.join(first, ["row", "start", "n"], "left_anti")
     gone = later.select("row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("idx")).distinct()
     return gone.join(seq.select("row", "idx", "pos"), ["row", "idx"]).groupBy("row").agg(F.collect_list("pos").alias("dels"))
 
 
-def _cleaned(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs`` with ``_lines`` of the text, the numbers ``_dels`` of deleted ones (null: none) and the text ``_kept``."""
-    dels = later_copies(docs, min_words).select(F.col("row").alias("_row"), F.col("dels").alias("_dels")).hint("shuffle_hash")
-    both = docs.withColumn("_row", F.monotonically_increasing_id()).join(dels, "_row", "left").drop("_row")
+def _cleaned(docs: DataFrame, min_words: int) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` and the names of three more columns: ``lines`` of the text, the numbers ``dels`` of deleted ones (null: none) and the text ``kept``."""
+    name = {}
+    for n in ("row", "lines", "dels", "kept"):
+        name[n] = free_name(f"_{n}", docs)
+    table = numbered(docs, name["row"])
+    gone = later_copies(table, name["row"], min_words)
+    dels = gone.select(F.col("row").alias(name["row"]), F.col("dels").alias(name["dels"])).hint("shuffle_hash")
+    both = table.join(dels, name["row"], "left").drop(name["row"])
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dels"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(name["dels"]))
     kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    return both.withColumn("_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn(
-        "_kept", F.when(F.col("_dels").isNull(), F.col("text").cast("string")).otherwise(kept))
+    return both.withColumn(name["lines"], F.coalesce(F.size(lines), F.lit(0))).withColumn(
+        name["kept"], F.when(F.col(name["dels"]).isNull(), F.col("text").cast("string")).otherwise(kept)), name
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of ``MIN_WORDS`` words and more go but for their first copy; shorter repeats stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return _cleaned(docs, MIN_WORDS).select(
+    out, name = _cleaned(docs, MIN_WORDS)
+    return out.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("_lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_dels"), F.lit(0)).cast("long").alias("n_deleted"),
-        F.sha2("_kept", 256).alias("kept_sha256"))
+        F.when(F.col("text").isNull(), 0).otherwise(F.col(name["lines"])).cast("long").alias("n_lines"),
+        F.coalesce(F.size(name["dels"]), F.lit(0)).cast("long").alias("n_deleted"),
+        F.sha2(name["kept"], 256).alias("kept_sha256"))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without later copies of repeated runs; documents of which nothing is left go."""
-    out = _cleaned(docs, min_words)
-    emptied = F.col("_dels").isNotNull() & ~F.col("_kept").rlike(WORD)
+    out, name = _cleaned(docs, min_words)
+    emptied = F.col(name["dels"]).isNotNull() & ~F.col(name["kept"]).rlike(WORD)
     return out.where(~emptied).select(*[
-        (F.col("_kept") if n == "text" else F.col(n)).alias(n) for n in docs.columns])
+        (F.col(name["kept"]) if n == "text" else F.col(n)).alias(n) for n in docs.columns])
 
 
 #: The same rows in DuckDB SQL, by comparing the stretches themselves.

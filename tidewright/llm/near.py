@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, forget, release
-from .simhash import _components, _signed, fingerprint, links
+from .shared import components, cut, forget, free_name, numbered, release
+from .simhash import _components, _signed, fingerprint, kept_rows, links
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -81,8 +81,11 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return shared >= least * (len(both) - shared)
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, fp, set, n, bands) as :func:`.simhash.fingerprints`, with the hash, size and keys of the shingle set."""
+def _profiles(docs: DataFrame, row: str) -> DataFrame:
+    """(row, doc_id, fp, set, n, bands) as :func:`.simhash.fingerprints`, with the hash, size and keys of the shingle set.
+
+    ``row`` is the column of ``docs`` with the rows' numbers.
+    """
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,12 +103,11 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()),
                  pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "fp", "set", "n", "bands"])
 
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                      F.col("text").cast("string").alias("text"))
+    src = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "row long, doc_id long, fp long, set long, n int, bands array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, row: str, pairs: DataFrame) -> DataFrame:
     """(u, v) of the pairs (a, b, u, v) of rows and their fingerprints whose shingle sets are similar."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,9 +119,9 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             near = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
             yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    need = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
-    text = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("text"))
-    have = cut(text.join(need, "_row", "left_semi").mapInArrow(sets, "row long, hashes binary"))
+    need = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    text = docs.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
+    have = cut(text.join(need, "row", "left_semi").mapInArrow(sets, "row long, hashes binary"))
     first, second = (have.select(F.col("row").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
     both = pairs.join(first, "a").join(second, "b").select("u", "v", "of_a", "of_b")
     out = cut(both.mapInArrow(check, "u long, v long").distinct())
@@ -151,7 +153,7 @@ def _candidates(hits: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     return cut(every.select(F.col("x.row").alias("a"), F.col("y.row").alias("b"), F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).distinct())
 
 
-def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _roots(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
     """(node, root) of the fingerprints that are linked with others."""
     fps = cut(rows.select("fp").distinct())
     edges = cut(links(fps))
@@ -164,7 +166,7 @@ def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
     for turn in range(STARS + 1):
         pairs = _candidates(hits, roots, turn)
         if not pairs.isEmpty():
-            new = _verified(docs, pairs)
+            new = _verified(docs, row, pairs)
             if not new.isEmpty():
                 edges = cut(edges.union(new))
                 roots = components(edges)
@@ -176,16 +178,18 @@ def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``, which is a scan of files."""
-    rows = cut(_profiles(docs))
-    named, first = _components(rows, _roots(docs, rows))
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    docs = numbered(docs.select("doc_id", "text"), "row")
+    rows = cut(_profiles(docs, "row"))
+    named, first = _components(rows, _roots(docs, "row", rows))
     return rows.join(named.join(first, "root").select("fp", F.col("first.doc_id").alias("component_id")), "fp").select(
         "doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group, chosen and streamed as in :func:`.simhash.dedup`."""
-    rows = cut(_profiles(docs))
-    _, first = _components(rows, _roots(docs, rows))
-    keep = first.select(F.col("first.row").alias("_row")).hint("shuffle_hash")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(keep, "_row", "left_semi").select(*docs.columns)
+    row = free_name("_row", docs)
+    table = numbered(docs, row)
+    rows = cut(_profiles(table, row))
+    _, first = _components(rows, _roots(table, row, rows))
+    return kept_rows(table, row, first, docs.columns)

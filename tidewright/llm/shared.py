@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,19 +21,22 @@ _tables: list[tuple[SparkSession, str]] = []
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, one machine) a temporary
-    folder is made and removed again at exit.
+    Only where a session of one machine leaves it unset (tests) a temporary
+    folder is made and removed again at exit.  On a cluster each executor would
+    write to a disk of its own there, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="tidewright-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
     return "file://" + _own["dir"]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -54,19 +58,47 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it for as long as a column of ``frames`` has it (case aside, as Spark compares)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a number ``row`` per row, written once.
+
+    Numbers follow the split of the scan, which depends on the executors that
+    are alive when a job is planned.  They are therefore taken a single time
+    and kept as a column of a table; nothing numbers the same rows again.
+    """
+    return cut(docs.withColumn(row, F.monotonically_increasing_id()))
+
+
 def release(df: DataFrame) -> None:
     """Delete a table made by :func:`cut` that no later plan reads."""
     path = getattr(df, "_tidewright_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
         _tables[:] = [t for t in _tables if t[1] != path]
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Delete the tables that are cut within, when what was made of them is written."""
+    before = len(_tables)
+    yield
+    while len(_tables) > before:
+        spark, path = _tables.pop()
+        delete(spark, path)
+
+
 @atexit.register
 def _release_all() -> None:
     for spark, path in _tables:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the JVM may have ended first; its folder is then swept by its owner
             return
 

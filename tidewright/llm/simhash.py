@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, cut, forget
+from .shared import components, cut, forget, free_name, numbered
 
 RADIUS = 3
 SHINGLE = 3
@@ -67,10 +67,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(row, doc_id, fp): the row's place in the scan and its fingerprint as a signed long.
+def fingerprints(docs: DataFrame, width: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """(row, doc_id, fp): the row's number and its fingerprint as a signed long.
 
-    ``row`` is stable as long as ``docs`` is a scan of files.
+    The number is that of column ``row`` if named, else one of this plan alone,
+    which no second plan may count on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +80,8 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             fps = [_signed(fingerprint(t.as_py(), width)) for t in b.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["row", "doc_id", "fp"])
 
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                      F.col("text").cast("string").alias("text"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    src = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "row long, doc_id long, fp long")
 
 
@@ -220,12 +221,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (null last), then the first in the scan.
+def kept_rows(docs: DataFrame, row: str, first: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of ``docs`` that ``first`` (root, first) names, with the columns ``names``.
 
     The kept rows' numbers are hashed and ``docs`` streams past them, so texts are
     shuffled once and never sorted.
     """
-    _, first = _components(cut(fingerprints(docs, width)))
-    keep = first.select(F.col("first.row").alias("_row")).hint("shuffle_hash")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(keep, "_row", "left_semi").select(*docs.columns)
+    keep = first.select(F.col("first.row").alias(row)).hint("shuffle_hash")
+    return docs.join(keep, row, "left_semi").select(*names)
+
+
+def dedup(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (null last), then the first in the scan."""
+    row = free_name("_row", docs)
+    rows = numbered(docs, row)
+    _, first = _components(cut(fingerprints(rows, width, row)))
+    return kept_rows(rows, row, first, docs.columns)
