@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import lines
 
@@ -49,8 +50,9 @@ def test_equals_brute_force(spark, tmp_path, seed):
     rnd.shuffle(docs)
     spark.createDataFrame([(d, t, "r") for d, t in docs], "doc_id long, text string, row string").coalesce(1).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
-    for min_words in (12, 30):
-        got = lines._cleaned(df, min_words).select("doc_id", "_kept", "_dels", "row").collect()
+    for min_words in (1, 12, 30):
+        out, name = lines._cleaned(df, min_words)
+        got = out.select("doc_id", F.col(name["kept"]).alias("_kept"), F.col(name["dels"]).alias("_dels"), "row").collect()
         want = brute([(r.doc_id, r.text) for r in df.collect()], min_words)
         assert sorted(((r.doc_id, r._kept, len(r._dels or [])) for r in got), key=str) == want
     kept = lines.dedup(df, 12)

@@ -30,8 +30,8 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
     import numpy as np
     from test_lines import brute as brute_lines
+    from test_near import brute_groups
     from test_pii import BASE, luhn
-    from test_simhash import brute_components, brute_fp
 
     from tidewright.llm import bpe, pii, rules
 
@@ -46,8 +46,8 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             kept.append((d, t))
     words = re.compile(r"[^\x20\x09-\x0D]")
     kept = [(d, t) for d, t, n in brute_lines(kept, 50) if not n or words.search(t)]
-    fps = {d: brute_fp(t) for d, t in kept}
-    keep = {c for _, _, c in brute_components(list(fps.items()))}
+    # the contract of a near-duplicate stage on word shingles: five words, similarity of 0.8 or more, by all pairs
+    keep = set(brute_groups(kept).values())
     want = {}
     tok = bpe.library(bpe.default_path())
     for d, t in kept:
