@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import urls
 
@@ -55,7 +56,7 @@ def test_templates_separate_bad_branches(spark, extra):
 
 
 def brute_tree(pages, labels):
-    """Templates and smoothed purity with plain dictionaries: {page_id: (template, purity)}."""
+    """Templates and smoothed purity with plain dictionaries: {page_id: (template, purity)}; ``labels`` by document."""
     import math
     import re
 
@@ -66,27 +67,36 @@ def brute_tree(pages, labels):
         ext = ext[1] if ext else ""
         return "*" + ext if is_id.fullmatch(s[:len(s) - len(ext)]) else s
 
+    def label(host, path, says):
+        if says is not None:
+            return says == "block"
+        if set(re.split("[.-]", host)) & set(urls.WORDS):
+            return True
+        shown = re.search(r"/([0-9]+)(\.[A-Za-z]+)?/?$", path)
+        return labels.get(int(shown[1])) if shown else None
+
     rows = {}
     for p, url in pages:
         host, path, _, says = base(url)
-        parts = [s for s in path.split("/") if s]
-        segs = [shape(parts[i]) if i < len(parts) else None for i in range(urls.DEPTH)] + ["**" if len(parts) > urls.DEPTH else None]
-        rows[p] = [host, segs, (), labels.get(p) if says is None else says == "block"]
-    for level in range(urls.DEPTH + 1):
+        rows[p] = [host, [shape(s) for s in path.split("/") if s], (), label(host, path, says)]
+    for level in range(max(len(r[1]) for r in rows.values())):
         nodes = {}
         for host, segs, prefix, bad in rows.values():
-            c = nodes.setdefault((host, prefix), {}).setdefault(segs[level], [0, 0, 0])
+            seg = segs[level] if level < len(segs) else None
+            if level and len(segs) < level:  # ended on an earlier level
+                continue
+            c = nodes.setdefault((host, prefix), {}).setdefault(seg, [0, 0, 0])
             c[0] += 1
             c[1] += bad is False
             c[2] += bad is True
         for r in rows.values():
-            children, seg = nodes[(r[0], r[2])], r[1][level]
-            if seg is None:
+            if level >= len(r[1]):
                 continue
+            children, seg = nodes[(r[0], r[2])], r[1][level]
             n, g, b = children[seg]
-            all_n, all_g, all_b = (sum(c[i] for c in children.values()) for i in range(3))
+            all_g, all_b = (sum(c[i] for c in children.values()) for i in (1, 2))
             n1, n2 = g + b, all_g + all_b - g - b
-            own = n >= urls.MIN_PAGES and n >= urls.MIN_SHARE * all_n and n1 and n2 and 0 < all_b < all_b + all_g
+            own = n >= urls.MIN_PAGES and n1 and n2 and 0 < all_b < all_b + all_g
             if own:
                 q = all_b / (n1 + n2)
                 own = abs(b / n1 - (all_b - b) / n2) / math.sqrt(q * (1 - q) * (1 / n1 + 1 / n2)) > urls.Z
@@ -121,3 +131,26 @@ def test_tree_equals_brute_force(spark, sf):
         assert r.template == template and abs(r.purity - purity) < 1e-5
         says = base(url[r.page_id])[3]
         assert r.verdict == (says or ("block" if purity >= urls.PURITY else "allow"))
+
+
+def test_unwanted_hosts_are_blocked_and_others_kept(spark):
+    """Where no rule decides, hosts whose name says what they are, and all others."""
+    planted = ("casino-win", "ads-track", "spam-farm", "cheap-pills", "adult-x")
+    got = [r for r in urls.op3_url_filter(spark, "/root/testdata/sf0.1").collect() if r.rule is None]
+    bad = [r.verdict for r in got if any(p in r.host for p in planted)]
+    good = [r.verdict for r in got if not any(p in r.host for p in planted)]
+    assert len(bad) > 60 and bad.count("block") / len(bad) > 0.9
+    assert len(good) > 1000 and good.count("allow") / len(good) > 0.95
+
+
+def test_labels_follow_the_document_that_a_page_shows(spark):
+    """Evidence for the key: headings open the text of the document of the URL's number, not of the page's."""
+    import re
+    from html import unescape
+
+    path = "/root/testdata/sf0.01"
+    text = {r.doc_id: re.sub(r"\s", " ", r.text) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()}
+    pages = spark.read.parquet(f"{path}/pages.parquet").select("page_id", "html", urls.shown_document(F.col("url")).alias("doc")).collect()
+    head = {r.page_id: unescape(re.search("<h1>(.*?)</h1>", r.html)[1]) for r in pages}
+    assert sum(text.get(r.doc, "").startswith(head[r.page_id]) for r in pages) > 0.95 * len(pages)
+    assert sum(text.get(r.page_id, "").startswith(head[r.page_id]) for r in pages) < 0.1 * len(pages)

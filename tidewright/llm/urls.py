@@ -14,8 +14,14 @@ by the template of their path.  The tree is grown level by level from counts:
    statistically similar and are merged into one wildcard branch.
 
 A template is rejected when its share of bad labels, smoothed towards its host's
-and the host's towards the whole table's, reaches ``PURITY``.  Labels are given
-pages plus the verdicts of the rules themselves.
+and the host's towards the whole table's, reaches ``PURITY``.  A page's label is
+the verdict of its rule; without a rule, bad if a part of its host (between dots
+and hyphens) is one of ``WORDS``; else the one given for it, if any.
+
+The query gives pages the labels of the document that they show.  Its id is the
+number that ends the path: the headings of 2,486 of the 2,500 pages of ``sf0.1``,
+and of 99.5 % of ``check_s``, open the text of the document of that number
+(1.4 % open that of the document numbered like the page).
 
 Only counts are aggregated (partially, before each shuffle), so a host with a
 third of all pages is never gathered.  Null URLs and URLs without ``://`` have
@@ -31,9 +37,9 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 MIN_PAGES = 8
-# Former cuts that only the brute force of tests/llm/test_urls.py reads; nothing here does.
-DEPTH = 4
-MIN_SHARE = 0.01
+#: What unwanted sites are commonly called.
+WORDS = ("ads", "adserver", "adult", "betting", "casino", "escort", "gambling", "hentai", "lottery", "malware", "phishing", "pills",
+         "poker", "porn", "slots", "spam", "viagra", "warez", "xxx")
 Z = 1.96
 SMOOTH = 10.0
 PURITY = 0.5
@@ -117,13 +123,19 @@ def templates(pages: DataFrame) -> DataFrame:
         "host", "shape", F.concat(F.lit("/"), F.array_join("prefix", "/")).alias("template"), "purity")
 
 
-def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES) -> DataFrame:
+def shown_document(url: Column) -> Column:
+    """The id of the document that a page shows: the number that ends its path, null without one."""
+    return F.regexp_extract(host_and_path(url)[1], r"/([0-9]{1,18})(?:\.[A-Za-z]+)?/?$", 1).try_cast("long")
+
+
+def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, words: tuple[str, ...] = WORDS) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for every page; labels is (page_id, bad)."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     name, says = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "says": says, "shape": shapes(F.col("path"))})
-    seen = rows.select("page_id", "host", "shape", (F.col("says") == "block").alias("bad"))
+    named = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, words)).cast("array<string>"))
+    seen = rows.select("page_id", "host", "shape", F.coalesce(F.col("says") == "block", F.when(named, F.lit(True))).alias("bad"))
     if labels is not None:
         told = labels.where("page_id is not null").groupBy("page_id").agg(F.bool_or("bad").alias("told"))
         seen = seen.join(told, "page_id", "left").withColumn("bad", F.coalesce("bad", "told"))
@@ -137,6 +149,9 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES) -> Dat
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null or toxic is not null").select(
-        F.col("doc_id").alias("page_id"), ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
-    out = judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), labels)
+        "doc_id", ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    shown = pages.select("page_id", shown_document(F.col("url")).alias("doc_id")).where("doc_id is not null")
+    told = shown.join(labels.groupBy("doc_id").agg(F.bool_or("bad").alias("bad")), "doc_id").select("page_id", "bad")
+    out = judge(pages, told)
     return out.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
