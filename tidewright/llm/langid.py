@@ -2,17 +2,17 @@
 
 Features are the hashed byte n-grams of lengths 2 to 4 of a text, ASCII letters
 lower-cased.  The model averages their embeddings and applies a linear softmax;
-both are trained by stochastic gradient descent in numpy, on stretches of texts
-of several lengths so that short texts are judged as well as long ones.  As averaging
+both are trained by stochastic gradient descent in numpy.  As averaging
 and the linear layer commute, a trained model is one table of scores per bucket
 and language, which is what travels to the executors.
 
-Training uses a bounded sample: per language about ``SAMPLE`` labelled rows,
-chosen by a hash of the id from all labelled rows, and of each one stretch per
-length in ``STRETCHES`` from anywhere in it, as n-gram counts made on the
-executors; that bounds what reaches the driver whatever the texts' lengths.  A tenth of them is not trained on; on it the temperature is fitted
-that makes scores probabilities, and the score below which a prediction is
-rejected.
+Training uses a bounded sample of rows: per language about ``SAMPLE`` labelled
+ones, chosen by a hash of the id from all labelled rows.  Each is read whole: its
+n-gram counts, made on the executors, are one training row, at most ``BUCKETS``
+numbers however long the text.  Two short stretches (``STRETCHES``) from anywhere
+in it are two more, which teach the judgement of short texts.  A tenth of the
+rows is not trained on; on it the temperature is fitted that makes scores
+probabilities, and the score below which a prediction is rejected.
 
 A null text, or one without a letter, is ``und`` with score 0.  Every text is
 read whole.  Rows are independent; null ids are never trained on.  With no
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 DIM = 16
-SAMPLE = 1000
+SAMPLE = 500
 EPOCHS = 6
 RATE = 0.5
-STRETCHES = (40, 150, 600)  # bytes
+STRETCHES = (40, 200)  # bytes
 REJECT = 0.01  # share of right predictions that rejection may cost
 CHUNK = 1 << 18
 SEED = 7
@@ -63,6 +63,8 @@ def buckets(text: bytes) -> Iterator[np.ndarray]:
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, count) of a text's n-grams."""
+    if len(text) < BUCKETS // 8:
+        return np.unique(np.concatenate([*buckets(text), np.empty(0, np.uint32)]), return_counts=True)
     total = np.zeros(BUCKETS, np.int64)
     for b in buckets(text):
         total += np.bincount(b, minlength=BUCKETS)
@@ -96,6 +98,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=-1, keepdims=True)
 
 
+def step(embed: np.ndarray, out: np.ndarray, bias: np.ndarray, b: np.ndarray, w: np.ndarray, y: int, rate: float) -> None:
+    """One step of gradient descent on one row: buckets b with shares w, language y."""
+    rows = embed[b]
+    v = w @ rows
+    g = _softmax(v @ out + bias)
+    g[y] -= 1
+    back = out @ g
+    out -= rate * np.outer(v, g)
+    bias -= 0.1 * rate * g
+    rows -= np.outer(w, rate * 20 * back)  # each n-gram is a small share of its text
+    embed[b] = rows
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = SEED) -> Model:
     """A model from (buckets, counts, language)."""
     labels = sorted({r[2] for r in rows})
@@ -104,22 +119,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = SEED) -> M
     if k == 0:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     number = {name: i for i, name in enumerate(labels)}
-    data = [(np.asarray(b), np.asarray(c, np.float64) / np.sum(c), number[y]) for b, c, y in rows if len(b)]
+    data = [(np.asarray(b), (np.asarray(c, np.float64) / np.sum(c)).astype(np.float32), number[y]) for b, c, y in rows if len(b)]
     order = rng.permutation(len(data))
     held = order[:len(data) // 10]
     order = order[len(data) // 10:]
-    embed, out, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, k)), np.zeros(k)
+    embed, out = (rng.normal(0, 0.1, shape).astype(np.float32) for shape in ((BUCKETS, DIM), (DIM, k)))
+    bias = np.zeros(k, np.float32)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(order):
-            b, w, y = data[i]
-            v = w @ embed[b]
-            g = _softmax(v @ out + bias)
-            g[y] -= 1
-            back = out @ g
-            out -= rate * np.outer(v, g)
-            bias -= 0.1 * rate * g
-            embed[b] -= rate * 20 * w[:, None] * back  # each n-gram is a small share of its text
+            step(embed, out, bias, *data[i], rate)
     table = embed @ out
     test = held if len(held) else order
     z = np.array([data[i][1] @ table[data[i][0]] + bias for i in test]).reshape(len(test), k)
@@ -149,6 +158,8 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
         for b in batches:
             got, langs = [], []
             for doc, t, lang in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+                got.append(features(t))
+                langs.append(lang)
                 for size in STRETCHES:
                     at = zlib.crc32(b"%d %d" % (doc, size)) % max(1, len(t) - size + 1)
                     got.append(features(t[at:at + size]))
