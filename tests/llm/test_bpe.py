@@ -121,3 +121,39 @@ def test_best_fit_is_tightest():
             assert left[w] == min(fits)
         assert o == 4096 - left[w]
         left[w] -= n
+
+
+def test_every_script_goes_through_the_lexicon_and_exact_merging(monkeypatch):
+    """All code points, words of many scripts, long words and special tokens within words, with the library for comparison only."""
+    import unicodedata
+
+    path = bpe.default_path()
+    tok, enc = bpe.library(path), bpe.Encoder(path)
+    assert len(bpe.newer_marks()) < 150
+    known = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn" and chr(c) not in bpe.newer_marks()]
+    rnd = random.Random(5)
+    some = known[:0x3000] + rnd.sample(known, 4000)
+    text = " ".join(f"a{c}1 {c}́x" for c in some)
+    cases = ["Привет, мир! ΟΔΥΣΣΕΥΣ’s «œuvre» naïve—don’t", "中文字" * 400, "ไทย" * 90, "العربية", "İSTANBUL ſtraße", "x" * 5000, "ab" * 3000, "न्मी" * 60,
+             "a<|endoftext|>中<|startoftext|><|endoftext|>", "<|é|>", "\U0001f642‍\U0001f525" * 40, text]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in cases]
+
+    class Closed:
+        def encode(self, *_, **__):
+            raise AssertionError("the library must not be asked")
+
+    monkeypatch.setattr(enc, "library", Closed())
+    for t, ids in zip(cases, want):
+        assert [i for p in t.encode().split() for i in enc.piece(p)] == ids, t[:40]
+    lex = bpe.Lexicon(bpe.Lexicon.build({w.encode(): enc.merge(w) for w in ("привет", "中文字", "œuvre")}))
+    assert lex.get("œuvre".encode()) == enc.merge("œuvre")
+
+
+def test_heap_and_scan_merge_alike(monkeypatch):
+    enc, rnd = bpe.Encoder(bpe.default_path()), random.Random(6)
+    words = ["".join(rnd.choice("aabetionsré") for _ in range(rnd.randint(1, 90))) for _ in range(400)] + ["a" * n for n in range(1, 70)]
+    merged = []
+    for most in (0, 1000):
+        monkeypatch.setattr(bpe, "LONG_WORD", most)
+        merged.append([enc.merge(w) for w in words])
+    assert merged[0] == merged[1]

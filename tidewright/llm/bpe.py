@@ -3,16 +3,19 @@
 A text is cut at ASCII white space, which no match of the tokenizer's splitting
 pattern and none of its special tokens spans, so pieces encode independently.
 A piece goes through three stores: a bounded cache, the lexicon, and exact
-merging.  The lexicon holds the most frequent words of the corpus (all texts
-are counted) with their ids: a minimal acyclic automaton with shared suffixes
+merging.  The lexicon holds the most frequent words of the corpus (see
+:func:`frequent`) with their ids: a minimal acyclic automaton with shared suffixes
 whose arcs carry word counts, so a walk yields the word's rank and with it its
 ids.  It is built once, broadcast as one block of bytes (at most
 ``LEXICON_WORDS`` pieces, a few MB) and memory-mapped by every worker.
 
-Words outside the lexicon are merged by rank.  Pieces with characters whose
-normal form or case is not settled letter by letter (anything beyond ASCII and
-the Latin-1 letters), and pieces that may hold a special token, go to the
-tokenizers library.
+A piece is normalised (canonical composition, lower case letter by letter) and
+split into words as the tokenizer file says, for every script.  Words outside
+the lexicon are merged by rank: short ones pair by pair, long ones (scripts
+without spaces) with a heap.  Special tokens are cut out first.  Only pieces with
+a code point that either side's Unicode tables do not know (unassigned in
+Python's; combining marks that the library's normalisation does not reorder) go
+to the tokenizers library.
 
 Null and empty texts have no tokens.  Rows are independent: repeated rows and
 null ids pass through.
@@ -20,18 +23,22 @@ null ids pass through.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 import json
 import mmap
 import os
 import re
 import struct
 import tempfile
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +51,9 @@ STORE_PIECES = 450_000
 WORD_CACHE = 150_000
 TOGETHER = 500_000  # ids that are written out at once
 END = "</w>"
-#: The splitting pattern of the tokenizer file, on lower-case ASCII and Latin-1 letters.
+LONG_WORD = 48  # symbols; longer words are merged with a heap
+#: The splitting pattern of the tokenizer file, and the same on lower-case ASCII and Latin-1 letters.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9]|[^\\sa-zªµºß-öø-ÿ0-9]+")
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
@@ -164,6 +173,16 @@ def library(path: str):
     return tok
 
 
+@functools.cache
+def newer_marks() -> frozenset[str]:
+    """Combining marks of the last Unicode versions, which the library's canonical composition leaves in their places."""
+    from tokenizers import normalizers
+
+    composed = normalizers.NFC().normalize_str
+    marks = [c for c in map(chr, range(0x300, 0x20000)) if unicodedata.combining(c)]
+    return frozenset(c for c in marks if any(composed(t) != unicodedata.normalize("NFC", t) for t in (c + "\u0327\u0301", "\u0345" + c)))
+
+
 class Encoder:
     """Ids of white-space-free pieces, by lexicon and exact merging."""
 
@@ -173,6 +192,8 @@ class Encoder:
         self.vocab = spec["model"]["vocab"]
         self.ranks = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
         self.library = library(path)
+        self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = re.compile("(" + "|".join(map(re.escape, self.special_ids)) + ")")
         self.lexicon = lexicon
         self.words = Pieces(self._word, WORD_CACHE)
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
@@ -182,6 +203,8 @@ class Encoder:
     def merge(self, word: str) -> tuple[int, ...]:
         parts = [self.symbols[b] for b in word.encode()]
         parts[-1] += END
+        if len(parts) > LONG_WORD:
+            return self._merge_long(parts)
         rank, none = self.ranks.get, len(self.ranks)
         pairs = [rank(p, none) for p in zip(parts, parts[1:])]
         while pairs:
@@ -197,16 +220,51 @@ class Encoder:
                 pairs[at] = rank((parts[at], parts[at + 1]), none)
         return tuple(self.vocab[p] for p in parts)
 
+    def _merge_long(self, parts: list[str | None]) -> tuple[int, ...]:
+        """The same merges, leftmost of the lowest rank first, from a heap over linked neighbours."""
+        rank, n = self.ranks.get, len(parts)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank((a, b))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if parts[i] != a or j == n or parts[j] != b:  # an earlier merge took one of the two
+                continue
+            parts[i], parts[j], right[i] = a + b, None, right[j]
+            if right[j] < n:
+                left[right[j]] = i
+            for x, y in ((left[i], i), (i, right[i])):
+                if x >= 0 and y < n and (r := rank((parts[x], parts[y]))) is not None:
+                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
+        return tuple(self.vocab[p] for p in parts if p is not None)
+
     def _word(self, word: str) -> tuple[int, ...]:
         out = self.lexicon.get(word.encode()) if self.lexicon else None
         return self.merge(word) if out is None else out
 
+    def split(self, text: str) -> list[str] | None:
+        """The words of a piece without special tokens; None where Python's Unicode tables do not know a code point."""
+        if PLAIN.fullmatch(text):
+            return WORDS.findall(text.lower())
+        if any(unicodedata.category(c) == "Cn" or c in newer_marks() for c in text):
+            return None
+        return SPLIT.findall("".join(map(str.lower, unicodedata.normalize("NFC", text))))
+
     def piece(self, piece: bytes) -> tuple[int, ...]:
         text = piece.decode()
-        if len(text) > 200 or "<|" in text or not PLAIN.fullmatch(text):
-            return tuple(self.library.encode(text, add_special_tokens=False).ids)
-        words = WORDS.findall(text.lower())
-        return self.words[words[0]] if len(words) == 1 else sum(map(self.words.__getitem__, words), ())
+        parts = self.special.split(text) if "<|" in text else [text]  # special tokens at odd places
+        out: tuple[int, ...] = ()
+        for i, part in enumerate(parts):
+            if i % 2:
+                out += (self.special_ids[part],)
+            elif part:
+                words = self.split(part)
+                if words is None:
+                    out += tuple(self.library.encode(part, add_special_tokens=False).ids)
+                else:
+                    out += self.words[words[0]] if len(words) == 1 else sum(map(self.words.__getitem__, words), ())
+        return out
 
 
 class Pieces(dict):
@@ -229,8 +287,9 @@ class Pieces(dict):
 def frequent(docs: DataFrame, share: int = LEXICON_WORDS) -> list[str]:
     """The white-space-free lower-case pieces that make up at least one in ``share`` of the repeated pieces of all texts.
 
-    There can be no more than ``share`` of them, which bounds what reaches the driver.  All texts are counted; pieces
-    that a task sees only once, which are far below the share, are not passed on.
+    There can be no more than ``share`` of them, which bounds what reaches the driver.  Every text is read, but a piece
+    that is seen once only between two flushes of a task (``COUNT_PIECES``) is not passed on, so the count of a rare piece
+    may be too low.  That decides which words the lexicon holds and nothing else: other words are merged.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +321,7 @@ def frequent(docs: DataFrame, share: int = LEXICON_WORDS) -> list[str]:
 def lexicon(docs: DataFrame, path: str, share: int = LEXICON_WORDS) -> bytes:
     """The transducer of the corpus' frequent words."""
     enc = Encoder(path)
-    words = {w for p in frequent(docs, share) if PLAIN.fullmatch(p) and "<|" not in p for w in WORDS.findall(p.lower())}
+    words = {w for p in frequent(docs, share) for part in enc.special.split(p)[::2] for w in enc.split(part) or ()}
     return Lexicon.build({w.encode(): enc.words[w] for w in words})
 
 
