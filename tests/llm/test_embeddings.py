@@ -59,3 +59,26 @@ def test_hadamard():
     x = np.eye(8)
     assert np.allclose(embeddings.hadamard(embeddings.hadamard(x)), x)
     assert np.allclose(np.abs(embeddings.hadamard(x)), 1 / np.sqrt(8))
+
+
+def same_bucket(x, label):
+    return np.zeros((len(x), 32), np.int64)
+
+
+same_bucket.__module__ = "__main__"  # workers get it by value
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_a_bucket_of_vectors_of_several_lengths_loses_no_link(spark, monkeypatch, block):
+    """All keys coincide, so every two vectors of a label and length meet and links are those of all pairs."""
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "bucket_keys", same_bucket)
+    rng = np.random.default_rng(4)
+    rows = []
+    for d in (3, 4, 9):
+        centre = rng.normal(size=d)
+        rows += [(len(rows) + i, (centre + rng.normal(size=d) * 0.3).tolist(), i % 2) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want, total = brute(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.neighbours(df).collect()}
+    assert got == want and total > 40

@@ -28,3 +28,24 @@ def test_ties_take_the_earliest_start():
     assert c("ab") == (1, -2.0)
     assert c("abc") == (1, -3.0)
     assert c("zab") == (2, -15.0)
+
+
+def test_scores_equal_brute_force(spark):
+    """The best score of every word again, over all places where a vocabulary piece fits."""
+    path = unigram.default_path()
+    vocab = dict(unigram.vocabulary(path)[0])
+    longest, unknown = max(map(len, vocab)), min(vocab.values()) - unigram.UNKNOWN_PENALTY
+
+    def best(word):
+        score = [0.0] + [float("-inf")] * len(word)
+        for end in range(1, len(word) + 1):
+            fits = [score[s] + vocab[word[s:end]] for s in range(max(0, end - longest), end) if word[s:end] in vocab]
+            score[end] = max(fits + ([score[end - 1] + unknown] if word[end - 1] not in vocab else []))
+        return score[-1]
+
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice(POOL + "etaoin ") for _ in range(rnd.randint(1, 50))) for _ in range(200)] + ["the whole 文 text\n of it", "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in unigram.count_tokens(df, path).collect():
+        want = sum(best(unigram.MARK + w) for w in unigram.words(texts[r.doc_id]))
+        assert abs(r.score - want) < 1e-6 * max(1, abs(want)), texts[r.doc_id]

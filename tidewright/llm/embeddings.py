@@ -202,14 +202,14 @@ def neighbours(rows: DataFrame) -> DataFrame:
             for a, z in zip([0, *edge], [*edge, len(key)]):
                 if z - a < 2:
                     continue
-                d = offs[a + 1] - offs[a]
-                if (np.diff(offs[a:z + 1]) != d).any():
-                    continue  # keys of different lengths coincide only by chance
-                vec = flat[offs[a]:offs[z]].reshape(z - a, d).astype(np.float64)
-                split = int((~right[a:z]).sum()) if lo[a] != hi[a] else 0
-                if lo[a] != hi[a] and split in (0, z - a):
-                    continue
-                out.append(_meet(cls[a:z], mult[a:z], vec, label[a:z], keys[a:z], int(key[a]), split))
+                size = np.diff(offs[a:z + 1])
+                for d in np.unique(size):  # keys of vectors of different lengths may coincide
+                    at = a + np.flatnonzero(size == d)
+                    split = int((~right[at]).sum()) if lo[a] != hi[a] else 0
+                    if len(at) < 2 or (lo[a] != hi[a] and split in (0, len(at))):
+                        continue
+                    vec = flat[offs[at][:, None] + np.arange(d)].astype(np.float64)
+                    out.append(_meet(cls[at], mult[at], vec, label[at], keys[at], int(key[a]), split))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["cls", "links", "root"])
 
