@@ -104,35 +104,11 @@ def i15(spark, sf):
         "id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
 
 
-@query("i18_range_similarity", BASE + """, p as (select vod, win, start, topic, lag("end") over w as e, lag(topic) over w as t from win window w as (partition by vod order by win))
- select vod, win, round(0.7 * (0.2 + 1) / 2 + 0.2 * exp(-greatest(0.0, start - e) / 600.0) + 0.1 * case when topic = t then 1 else 0 end, 6) as sim from p where e is not null""")
-def i18(spark, sf):
-    w = Window.partitionBy("vod").orderBy("win")
-    d = windows(spark, sf).withColumns({"e": F.lag("end").over(w), "t": F.lag("topic").over(w)}).where("e is not null")
-    s = vectors.range_similarity(F.lit(0.2), F.greatest(F.lit(0.0), F.col("start") - F.col("e")), F.col("topic") == F.col("t"))
-    return d.select("vod", "win", r6(s).alias("sim"))
-
-
 @query("h05_smooth_sections")
 def h05(spark, sf):
     return fixpoint.smooth_sections(threaded(spark, sf), VC)
 
 
-@query("h10_keep_jc_enh", BASE + """select vod, win, not (win % 3 = 0) or mz > 0.3 or energy = 'high' as keep from (select *, case when stddev_samp(z) over p is null or stddev_samp(z) over p = 0 then z else
- (z - avg(z) over p) / stddev_samp(z) over p end as mz from scored window p as (partition by vod, mode))""")
-def h10(spark, sf):
-    d = scored(spark, sf).withColumn("mz", series.mode_z("z", ["vod", "mode"]))
-    role = F.when(F.col("win") % 3 == 0, "afk").otherwise("")
-    return d.select("vod", "win", grouping.keep_talk(role, F.col("mz"), F.lit(0.0), F.lit(0), F.col("energy")).alias("keep"))
-
-
-@query("h09_semantic_bridge")
-def h09_bridge(spark, sf):
-    v = _vectors(spark, sf).withColumns({"t": F.col("id") * 60.0, "keep": F.col("id") % 5 == 0, "topic": F.lit("")})
-    sims = vectors.pairs(v, ["chapter"], "t", 3000.0)
-    return grouping.bridge_similar(v.select("chapter", "id", "keep", "topic"), sims, ["chapter"], "id", "keep", "topic").select("id", "keep")
-
-
 @query("h21_flatten_enh")
 def h21(spark, sf):
     d = grouping.peak_blocks(kept(spark, sf), V, F.col("keep"), F.lit(3600.0))
@@ -150,12 +126,6 @@ def h24(spark, sf):
     return grouping.topic_continuity(d, V, 1800.0).select("vod", "start", "end", "topic", "energy", "n")
 
 
-@query("h18_peak_blocks_semantic")
-def h18(spark, sf):
-    d = grouping.peak_blocks(kept(spark, sf), ["vod", "topic"], F.col("keep"), F.lit(7200.0))
-    return d.select("vod", "win", "block")
-
-
 @query("j02_clutch_arcs")
 def j02(spark, sf):
     d = scored(spark, sf).withColumn("avg_z", F.col("z"))
@@ -176,14 +146,6 @@ def j13(spark, sf):
     return select.nms_start_order(scored_, V, "score").select("vod", "pos", "start", "end", "score")
 
 
-@query("j10_coherence")
-def j10(spark, sf):
-    w = Window.partitionBy(*VC).orderBy("win")
-    d = windows(spark, sf).withColumns({"e": F.lag("end").over(w), "t": F.lag("topic").over(w)})
-    s = vectors.range_similarity(F.lit(0.0), F.greatest(F.lit(0.0), F.col("start") - F.col("e")), F.col("topic") == F.col("t"))
-    return d.groupBy(*VC).agg(r6(F.coalesce(F.avg(F.when(F.col("e").isNotNull(), s)), F.lit(0.8))).alias("coherence"))
-
-
 @query("j25_story_arcs")
 def j25(spark, sf):
     """Arcs per chapter: rounds where resolutions show them, else detected arcs, then the gaps, packed by length."""

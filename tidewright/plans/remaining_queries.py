@@ -100,13 +100,6 @@ def g16(spark, sf):
     return ranges(spark, sf).select("event_id", n.cast("long").alias("place"))
 
 
-@query("h03_extend_by_semantics")
-def h03(spark, sf):
-    v = _vectors(spark, sf).withColumns({"t": F.col("id") * 30.0, "keep": F.col("id") % 7 == 0, "topic": F.lit("")})
-    sims = vectors.pairs(v, ["chapter"], "t", 60.0)
-    return grouping.bridge_similar(v.select("chapter", "id", "keep", "topic"), sims, ["chapter"], "id", "keep", "topic", 0.4, 0.4).select("id", "keep")
-
-
 @query("h04_extend_groups", THREAD + """select distinct t.vod, min(o.start) over p as lo, max(o."end") over p as hi from th t join th o on t.vod = o.vod and t.thread = o.thread where t.reactions >= 5 window p as (partition by t.vod, t.win)""")
 def h04(spark, sf):
     d = threaded(spark, sf)
@@ -141,13 +134,6 @@ def i12(spark, sf):
     return d.where(vectors.matches({"overlaps": (30000, 40000)})).select("id")
 
 
-@query("i17_semantic_wrap", KEEP + """, a as (select *, keep or coalesce(lead(keep) over w and lead(same_prev) over w, false) as k from kp window w as (partition by vod order by win)), b as (select vod, win, max(k) over (partition by vod, thread order by win rows between unbounded preceding and current row) as keep from a)
- select vod, count(*) filter (keep) as kept from b group by vod""")
-def i17(spark, sf):
-    d = grouping.context_wrap(kept(spark, sf), V, "win", "keep", "role", "same_prev")
-    return d.groupBy("vod").agg(F.count_if("keep").alias("kept"))
-
-
 @query("i23_extended_search", "select count(*) as n from (select vec_id from embeddings union all select item_id from benchmark)")
 def i23(spark, sf):
     a = _vectors(spark, sf).select("id").unionByName(table(spark, sf, "benchmark").select(F.col("item_id").alias("id")))

@@ -193,12 +193,6 @@ def h08(spark, sf):
     return scored(spark, sf).select("vod", "win", grouping.keep_talk(role, F.col("z"), F.lit(0.0), F.greatest(F.lit(0), F.col("reactions") - 3), F.col("energy")).alias("keep"))
 
 
-@query("h09_keep_gameplay_enh", BASE + "select vod, win, reactions >= 4 or role in ('peak', 'conflict', 'resolution') or z >= 0.25 or burst >= 1.2 as keep from scored")
-def h09(spark, sf):
-    k = grouping.keep_gameplay_active(F.col("reactions") >= 4, F.col("role"), F.col("z"), F.col("burst"))
-    return scored(spark, sf).select("vod", "win", k.alias("keep"))
-
-
 KEEP = THREAD + """, kp as (select *, energy = 'high' as keep, max("end") over (partition by vod) as fin from th)
 """
 
@@ -213,27 +207,6 @@ def h11(spark, sf):
     return grouping.context_wrap(kept(spark, sf), V, "win", "keep", "role", "same_prev").select("vod", "win", "keep")
 
 
-@query("h12_pad_importants", KEEP + """select k.vod, k.win, keep or exists (select 1 from kp i where i.vod = k.vod and i.burst >= 1.8 and k.start >= i.start - 3600 and k.start <= i.start + 1800) as keep from kp k""")
-def h12(spark, sf):
-    d = kept(spark, sf).withColumn("imp", F.col("burst") >= 1.8)
-    return grouping.pad_importants(d, V, "start", "keep", "imp", F.lit(3600.0), F.lit(1800.0), 3600.0).select("vod", "win", "keep")
-
-
-FILL = KEEP + """, fl as (select *, coalesce(greatest(0.0, min(case when keep then start end) over (partition by vod order by start rows between 1 following and unbounded following)
- - max(case when keep then "end" end) over (partition by vod order by start rows between unbounded preceding and 1 preceding)) <= 3600, false) or keep as k2 from kp)
-"""
-
-
-@query("h13_fill_gaps", FILL + "select vod, win, k2 as keep from fl")
-def h13(spark, sf):
-    return grouping.fill_gaps(kept(spark, sf), V, "keep", F.lit(3600.0)).select("vod", "win", "keep")
-
-
-@query("h14_fill_gaps_enh", FILL + "select vod, win, keep or (k2 and role <> 'filler') as keep from fl")
-def h14(spark, sf):
-    return grouping.fill_gaps(kept(spark, sf), V, "keep", F.lit(3600.0), F.col("role") != "filler").select("vod", "win", "keep")
-
-
 @query("h15_salience_guard", KEEP + "select vod, win, keep from kp")
 def h15(spark, sf):
     return grouping.salience_guard(kept(spark, sf), "keep").select("vod", "win", "keep")
@@ -485,11 +458,6 @@ def j09(spark, sf):
     return measured(spark, sf).select("vod", "chapter", r6("signal").alias("signal"))
 
 
-@query("j12_arc_score", MEASURES + "select vod, chapter, round(0.6 * 0.8 + 0.15 * contiguity + 0.15 * structure + 0.1 * signal - 0.25 * penalty, 5) as score from ms")
-def j12(spark, sf):
-    return measured(spark, sf).select("vod", "chapter", F.round("score", 5).alias("score"))
-
-
 @query("j14_span_total_gap", BASE + """, g as (select vod, chapter, start, "end", greatest(0.0, lead(start) over (partition by vod, chapter order by start) - "end") as gap from win)
  select vod, chapter, max("end") - min(start) as span, sum("end" - start) as total, coalesce(max(gap), 0.0) as max_gap from g group by all""")
 def j14(spark, sf):
