@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -238,6 +238,17 @@ def topic_sim(a: Column, b: Column) -> Column:
     return F.when((x == "") & (y == ""), 0.0).when(x == y, 1.0).otherwise(jaccard_tokens(x, y))
 
 
+def overlaps(queries: DataFrame, docs: DataFrame, qid: str, did: str, least: float) -> DataFrame:
+    """(qid, did, overlap) of queries and documents that share at least ``least`` of the query's distinct words; both have ``text``."""
+    def terms(d: DataFrame, key: str, c: str) -> DataFrame:
+        found = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
+        return d.select(key, F.size(found).alias("n"), F.explode(found).alias("w"))
+
+    told = terms(docs, did, "text").drop("n").join(terms(queries, qid, "text"), "w")
+    n = told.groupBy(qid, did).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    return n.where(F.col("shared") >= least * F.col("n")).select(qid, did, (F.col("shared") / F.col("n")).alias("overlap"))
+
+
 def text_overlap(query: Column, doc: Column) -> Column:
     """Share of the distinct query words that a text has; words are runs of ASCII letters and digits."""
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 
+BLOCK, BATCH = 8192, 2048  # rows and queries that meet in one task
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -30,8 +34,73 @@ def top_k(docs: DataFrame, query: list[float], k: int, vector: str = "embedding"
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), tie)).cast("long"))
 
 
+def search(queries: DataFrame, docs: DataFrame, k: int, vector: str = "embedding", tie: str = "id", extra: list[str] | None = None) -> DataFrame:
+    """(query, tie, extra, score, rank): for every row of ``queries`` the ``k`` nearest rows of ``docs`` by cosine, ties by ``tie``.
+
+    Exact and in blocks: rows and queries are dealt by a hash into blocks of at most about ``BLOCK`` rows and ``BATCH``
+    queries, every two blocks meet in a task of their own, and k rows per query and block go on.  Filter before or after.
+    A missing or zero vector has the score -1.
+    """
+    extra = extra or []
+    few = max(1, -(-queries.count() // BATCH))
+    many = max(1, -(-docs.count() // BLOCK))
+    kind = {n: t for n, t in docs.dtypes}
+    unit = normalise(F.col(vector).cast("array<double>")).alias("v")
+    d = docs.select(F.col(tie).alias("id"), *extra, unit, F.pmod(F.xxhash64(tie), F.lit(many)).cast("long").alias("db"),
+                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(few - 1).cast("long"))).alias("qb"))
+    q = queries.select(F.col(tie).alias("query"), unit, F.pmod(F.xxhash64(tie), F.lit(few)).cast("long").alias("qb"),
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias("db"))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        cols = [left.column(c) for c in ("id", *extra)]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([c.slice(0, 0) for c in cols] + [pa.array([], pa.int64()), pa.array([], pa.float64())], names=["id", *extra, "query", "score"])
+        a, b = (_matrix(t.column("v")) for t in (left, right))
+        ids, who = left.column("id").to_numpy(), right.column("query").to_numpy()
+        size = max(a.shape[1], b.shape[1])
+        a, b = (np.pad(x, ((0, 0), (0, size - x.shape[1]))) for x in (a, b))
+        at, of, scores = [], [], []
+        for lo in range(0, len(b), 256):
+            s = b[lo:lo + 256] @ a.T
+            s[~b[lo:lo + 256].any(axis=1)] = -1.0
+            s[:, ~a.any(axis=1)] = -1.0
+            for i, row in enumerate(np.round(s, 9)):
+                some = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                best = some[np.lexsort((ids[some], -row[some]))][:k]
+                at.append(best)
+                of.append(np.full(len(best), who[lo + i]))
+                scores.append(s[i, best])
+        at = np.concatenate(at)
+        return pa.table([c.take(pa.array(at)) for c in cols] + [pa.array(np.concatenate(of)), pa.array(np.concatenate(scores))], names=["id", *extra, "query", "score"])
+
+    shape = ", ".join([f"id {kind[tie]}", *[f"{c} {kind[c]}" for c in extra], "query long", "score double"])
+    found = d.groupBy("db", "qb").cogroup(q.groupBy("db", "qb")).applyInArrow(nearest, shape)
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).withColumnRenamed("id", tie)
+
+
+def again(hits: DataFrame, k: int) -> DataFrame:
+    """Hits of (query, id, score) ranked anew and cut, after a filter or another score."""
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
+    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def preset(docs: DataFrame, name: str, k: int, filters: dict) -> DataFrame:
+    """The first ``k`` rows by time that pass the filters, with the name of the preset."""
+    return docs.where(matches(filters)).orderBy("start", "id").limit(k).withColumn("preset", F.lit(name))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists as the rows of a matrix, shorter ones filled up with zeros."""
+    rows = [np.asarray(x.as_py() or [], np.float64) for x in column]
+    out = np.zeros((len(rows), max(map(len, rows), default=0) or 1))
+    for i, r in enumerate(rows):
+        out[i, :len(r)] = r
+    return out
+
+
 def matches(filters: dict) -> Column:
-    """Predicate of a filter: equal vod, mode, chapter, category; start in a range; overlap with a range; length bounds.
+    """Predicate of a filter: ids; equal vod, mode, chapter, category; start in a range; overlap with a range; length bounds.
 
     Excluded rows go unless ``include_excluded``.
     """
@@ -39,6 +108,8 @@ def matches(filters: dict) -> Column:
     for name in ("vod", "mode", "chapter", "category"):
         if filters.get(name) is not None:
             out = out & (F.col(name) == filters[name])
+    if "ids" in filters:
+        out = out & F.col("id").isin(list(filters["ids"]))
     if "start_in" in filters:
         out = out & F.col("start").between(*filters["start_in"])
     if "overlaps" in filters:

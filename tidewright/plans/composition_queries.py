@@ -86,15 +86,6 @@ def i25(spark, sf):
     return clips.curate(ranges(spark, sf), V, 10.0, 600.0, 12.0, 8.0, 7200.0, 86400.0).select("vod", "start", "end", "topic")
 
 
-@query("i07_search_rerank")
-def i07(spark, sf):
-    d = vectors.top_k(_vectors(spark, sf), _query_vector(spark, sf), 50)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars")
-    s = vectors.rerank(F.col("score"), "the boss fight", F.col("text"), F.array().cast("array<string>"), F.col("text"), F.col("n_chars"), F.lit("jc"))
-    out = d.join(docs, "id").withColumn("total", r6(s)).orderBy(F.desc("total"), "id").limit(10)
-    return out.select("id", "total", F.row_number().over(Window.orderBy(F.desc("total"), "id")).cast("long").alias("place"))
-
-
 @query("i15_attach_cluster")
 def i15(spark, sf):
     v = _vectors(spark, sf)

@@ -123,23 +123,6 @@ def i01(spark, sf):
     return _vectors(spark, sf).select(F.col("id").alias("vec_id"), r6(F.sqrt(vectors.dot(n, n))).alias("norm"))
 
 
-@query("i03_ann_topk", "with q as (select embedding::double[] as v from embeddings where vec_id = 0), s as (select vec_id, round(list_cosine_similarity(embedding::double[], v), 6) as score from embeddings, q) select vec_id, score from s order by score desc, vec_id limit 20")
-def i03(spark, sf):
-    return vectors.top_k(_vectors(spark, sf), _query_vector(spark, sf), 20).select(F.col("id").alias("vec_id"), r6("score").alias("score"))
-
-
-@query("i12_search_presets", BASE + """select id from win where start < 40000 and "end" > 30000""")
-def i12(spark, sf):
-    d = windows(spark, sf).withColumn("excluded", F.lit(False))
-    return d.where(vectors.matches({"overlaps": (30000, 40000)})).select("id")
-
-
-@query("i23_extended_search", "select count(*) as n from (select vec_id from embeddings union all select item_id from benchmark)")
-def i23(spark, sf):
-    a = _vectors(spark, sf).select("id").unionByName(table(spark, sf, "benchmark").select(F.col("item_id").alias("id")))
-    return a.agg(F.count("*").alias("n"))
-
-
 @query("l16_timestamp_lines", BASE + "select event_id, lpad((sec // 3600)::varchar, 2, '0') || ':' || lpad((sec // 60 % 60)::varchar, 2, '0') || ':' || lpad((sec % 60)::varchar, 2, '0') || ' ' || kind as line from chat")
 def l16(spark, sf):
     line = F.concat(timecode.format_short(F.col("sec")), F.lit(" - "), F.col("kind"))

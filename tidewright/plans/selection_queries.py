@@ -321,13 +321,6 @@ def i02(spark, sf):
     return vectors.pairs(_vectors(spark, sf), ["chapter"]).select("a", "b", r6("sim").alias("sim"))
 
 
-@query("i04_vector_topk", """with q as (select embedding::double[] as v from embeddings where vec_id = 0), s as (select vec_id, round(list_cosine_similarity(embedding::double[], v), 6) as score from embeddings, q
- where label = 3) select vec_id, score, rank from (select vec_id, score, row_number() over (order by score desc, vec_id) as rank from s) where rank <= 10""")
-def i04(spark, sf):
-    d = vectors.top_k(_vectors(spark, sf).where("chapter = 3"), _query_vector(spark, sf), 10)
-    return d.select(F.col("id").alias("vec_id"), r6("score").alias("score"), "rank")
-
-
 @query("i05_metadata_filter", BASE + """select id from win where mode = 'game' and start between 20000 and 60000 and vod = '2024-01-05'""")
 def i05(spark, sf):
     d = windows(spark, sf).withColumn("excluded", F.lit(False))
@@ -340,17 +333,6 @@ def i06(spark, sf):
     return d.where(vectors.matches({"overlaps": (30000, 40000), "min_len": 120, "max_len": 900})).select("event_id")
 
 
-OVERLAP = r"""with q as (select text as q from benchmark where item_id = 0), w as (select list_distinct(list_filter(string_split_regex(lower(q), '[^a-z0-9]+'), lambda x: x <> '')) as qw from q),
- o as (select doc_id, case when len(qw) = 0 then 0.0 else len(list_intersect(qw, list_distinct(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+')))) / len(qw) end as overlap from documents, w)
-"""
-
-
-@query("i09_text_overlap", OVERLAP + "select doc_id, round(overlap, 6) as overlap from o")
-def i09(spark, sf):
-    q = table(spark, sf, "benchmark").where("item_id = 0").select("text").first()[0]
-    return table(spark, sf, "documents").select("doc_id", r6(text.text_overlap(F.lit(q), F.col("text"))).alias("overlap"))
-
-
 @query("i11_engagement_score", """select doc_id, round(least(1.0, case when n > 10 then 0.3 when n > 5 then 0.2 else 0.1 end + case when c between 30 and 300 then 0.2 when c between 10 and 600 then 0.1 else 0.0 end
  + case when lang = 'en' then 0.1 else 0.0 end)::double, 6) as score from (select doc_id, lang, n_chars as c, len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) as n from documents)""")
 def i11(spark, sf):
@@ -387,14 +369,6 @@ def i20(spark, sf):
     return d.select("vod", "win", F.when(F.col("p").isNull(), 0.0).otherwise(text.topic_sim(F.col("p"), F.col("topic"))).alias("sim"))
 
 
-@query("i24_query_to_ranges", BASE + """, q as (select embedding::double[] as v from embeddings where vec_id = 0), s as (select vec_id, row_number() over (order by round(list_cosine_similarity(embedding::double[], v), 9) desc, vec_id) as r from embeddings, q),
- h as (select w.vod, w.start, w."end" from s join win w on w.last_event = s.vec_id * 20 where r <= 200), o as (select *, max("end") over (partition by vod order by start rows between unbounded preceding and 1 preceding) as reach from h),
- b as (select *, sum(case when reach is null or start - reach > 3600 then 1 else 0 end) over (partition by vod order by start) as run from o) select vod, min(start) as start, max("end") as "end" from b group by vod, run""")
-def i24(spark, sf):
-    hits = vectors.top_k(_vectors(spark, sf), _query_vector(spark, sf), 200).select((F.col("id") * 20).alias("last_event"))
-    return intervals.merge_gap(windows(spark, sf).join(hits, "last_event"), V, 3600.0)
-
-
 @query("i26_index_stats", "select count(*) as n, max(len(embedding))::bigint as dim, count(distinct label) as chapters from embeddings")
 def i26(spark, sf):
     return _vectors(spark, sf).agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("long").alias("dim"), F.countDistinct("chapter").alias("chapters"))
