@@ -1,5 +1,7 @@
 """Word lists, patterns and constants of the session analytics."""
 
+import re
+
 # Substrings that mark subscription and raid notices.
 SUB_NOTICES = (
     "subscribed with prime", "subscribed at tier", "gifted a tier", "gifted a sub", "is gifting", "gifted to",
@@ -105,4 +107,5 @@ REACTION_PARTS = {
 def reaction_pattern(name: str) -> str:
     """The pattern of a reaction: its form, not touched by the characters of its guard."""
     guard, form = REACTIONS[name]
-    return rf"(?<![{guard}]){form}(?![{guard}])"
+    first = re.match(r"\[[a-zA-Z]+\]|\w", form)  # seen first, so that most places fail before the look-behind
+    return rf"{f'(?={first[0]})' if first else ''}(?<![{guard}]){form}(?![{guard}])"

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a scan of few row groups would leave most of them idle; a large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chat(spark: SparkSession, sf: str) -> DataFrame:
     """event_id, vod, sec, user_id, kind, value, n_emotes."""
     e = table(spark, sf, "events")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import arcs, clips, fixpoint, grouping, intervals, select, series, vectors
 from ..registry import query
 from .base import BASE, chat, r6, ranges, scored, table, windows
-from .segment_queries import chapters, turns
+from .segment_queries import TURNS, chapters, turns
 from .selection_queries import _query_vector, _vectors, kept, resolutions, threaded
 from .series_queries import V, VC, salient
 
@@ -186,7 +186,7 @@ def k14(spark, sf):
                                                  F.count_if((c >= 0.4) & (c < 0.6)).alias("mid"), F.count_if(c < 0.4).alias("low"))
 
 
-@query("s09_chunk_lines")
+@query("s09_chunk_lines", TURNS + "select conv_id, string_agg('[' || lpad((start::bigint // 60)::varchar, 2, '0') || ':' || lpad((start::bigint % 60)::varchar, 2, '0') || '] ' || text, chr(10) order by start) as lines from tr group by conv_id")
 def s09(spark, sf):
     t = turns(spark, sf)
     line = F.format_string("[%02d:%02d] %s", F.floor(F.col("start") / 60), (F.col("start") % 60).cast("long"), F.col("text"))

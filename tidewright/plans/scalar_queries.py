@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, timecode, vocabulary
 from ..registry import query
-from .base import BASE, chat, r6, ranges, scored, table, windows
+from .base import BASE, chat, r6, ranges, scored, table, windows, spread
 
 DOCS = "select doc_id, "
 
@@ -80,7 +80,7 @@ def b14(spark, sf):
 
 @query("l01_reaction_hits")
 def l01(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.explode(text.reaction_hits(F.col("text"))).alias("token", "n"))
+    d = spread(docs(spark, sf).select("doc_id", "text")).select("doc_id", F.explode(text.reaction_hits(F.col("text"))).alias("token", "n"))
     return d.select("doc_id", "token", F.col("n").cast("long").alias("n"))
 
 
@@ -89,7 +89,15 @@ def l02(spark, sf):
     return table(spark, sf, "events").select("event_id", text.parse_reaction_hits(F.col("props"))["k"].alias("k"))
 
 
-@query("l03_extract_keywords")
+#: Letters beyond ASCII become 0, so that they count as letters at the ends of words.
+KEYWORDS = r"""with a as (select doc_id, text, regexp_replace(text, '[^\P{{L}}A-Za-z]', '0', 'g') as x from documents), t as (select doc_id, text, regexp_extract_all(x, '\b[A-Z][a-z]+([ \t\n\x0B\f\r]+[A-Z][a-z]+){{1,2}}\b') as ph, regexp_extract_all(x, '\b[A-Z][a-z]{{2,}}\b') as ws,
+ list_filter([{terms}], lambda k: contains(lower(text), k)) as dt from a),
+ u as (select doc_id, unnest(list_distinct(list_concat(ph, dt, ws))) as k from t),
+ r as (select doc_id, k, row_number() over (partition by doc_id order by length(k) desc, k) as n from u)
+""".format(terms=", ".join(f"'{t}'" for t in vocabulary.DOMAIN_TERMS))
+
+
+@query("l03_extract_keywords", KEYWORDS + " select d.doc_id, coalesce(x, case when d.text is not null then '' end) as keywords from documents d left join (select doc_id, string_agg(k, '|' order by n) as x from r where n <= 5 group by doc_id) using (doc_id)")
 def l03(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(text.extract_keywords(F.col("text")), "|").alias("keywords"))
 
@@ -135,7 +143,10 @@ def l10(spark, sf):
     return docs(spark, sf).select("doc_id", text.preview_text(F.col("text")).alias("preview"))
 
 
-@query("l11_condense")
+ONE = r"""trim(regexp_replace(regexp_replace(text, '[ \t\n\x0B\f\r]*(→|->)[ \t\n\x0B\f\r]*', ', ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"""
+
+
+@query("l11_condense", rf"""select doc_id, case when length(one) <= 120 then one else regexp_replace(substr(one, 1, 120), '[ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r]*$', '') end as short from (select doc_id, {ONE} as one from documents)""")
 def l11(spark, sf):
     return docs(spark, sf).select("doc_id", text.condense(F.col("text"), 120).alias("short"))
 
@@ -145,17 +156,23 @@ def l12(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(text.top_chat_lines(F.col("text"))).cast("long").alias("n"))
 
 
-@query("l13_title_case")
+@query("l13_title_case", r"""select doc_id, array_to_string(list_transform(string_split(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' '), lambda w: array_to_string(list_transform(string_split(w, '-'),
+ lambda p: case when length(p) >= 3 and upper(p) = p and lower(p) <> p then p else upper(replace(substr(p, 1, 1), 'ß', 'SS')) || lower(substr(p, 2)) end), '-')), ' ') as title from documents""")
 def l13(spark, sf):
     return docs(spark, sf).select("doc_id", text.title_case(F.col("text")).alias("title"))
 
 
-@query("l14_invalid_title")
+@query("l14_invalid_title", r"""select doc_id, low = '' or trim(regexp_replace(low, '[*`''"()\[\]{}.:;!?]', '', 'g')) in ('title', 'the title')
+ or regexp_matches(low, 'the user|as an ai|i am an ai|as a language model') or regexp_matches(low, 'ok user') as invalid from (select doc_id, lower(trim(coalesce(text, ''))) as low from documents)""")
 def l14(spark, sf):
     return docs(spark, sf).select("doc_id", text.is_invalid_title(F.col("text")).alias("invalid"))
 
 
-@query("l15_clean_title")
+@query("l15_clean_title", r"""with a as (select doc_id, regexp_replace(trim(text), '^["'']+|["'']+$', '', 'g') as t from documents),
+ b as (select doc_id, regexp_replace(t, '(?i)unfolding|chaos ensues|the journey|a surprising turn', '', 'g') as t from a),
+ c as (select doc_id, regexp_replace(t, '(?i)[ \t\n\x0B\f\r]*\([^)]*(generated|based|analysis|provided|following)[^)]*\)[ \t\n\x0B\f\r]*$', '', 'g') as t from b),
+ d as (select doc_id, trim(string_split(regexp_replace(t, '[.,:;!?]+$', '', 'g'), chr(10))[1]) as t from c)
+ select doc_id, case when length(t) <= 70 then t else trim(regexp_replace(substr(t, 1, 70), ' [^ ]*$', '')) end as title from d""")
 def l15(spark, sf):
     return docs(spark, sf).select("doc_id", text.clean_title(F.col("text"), 70).alias("title"))
 
@@ -200,7 +217,12 @@ def i10(spark, sf):
     return windows(spark, sf).where("topic in ('view', 'purchase', 'error')").select("id", text.keyword_score(t, F.array("topic")).alias("score"))
 
 
-@query("i19_jaccard_tokens")
+STEM = "case when length(w) > 4 and w like '%ing' then w[:-4] when length(w) > 4 and w like '%ed' then w[:-3] when length(w) > 4 and w like '%es' then w[:-3] when length(w) > 4 and w like '%s' then w[:-2] else w end"
+TOKENS = "list_distinct(list_transform(list_filter(string_split_regex(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9 \\t\\n\\x0B\\f\\r]', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '' and w not in ('the', 'a', 'an', 'and', 'or', 'to', 'of', 'for', 'in')), lambda w: " + STEM + "))"
+
+
+@query("i19_jaccard_tokens", "select doc_id, round(case when len(x) = 0 then 0.0 else len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) end::double, 6) as sim from (select doc_id, "
+       + TOKENS.format(c="text") + " as x, " + TOKENS.format(c="'the boss fights and the others'") + " as y from documents)")
 def i19(spark, sf):
     return docs(spark, sf).select("doc_id", r6(text.jaccard_tokens(F.col("text"), F.lit("the boss fights and the others"))).alias("sim"))
 
