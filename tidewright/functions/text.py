@@ -281,6 +281,13 @@ def layout_fraction(vod: Column, start: Column, end: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", vod, start, end), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def layout_choice(forced: Column, cam: Column, width: Column, frame: Column, fraction: Column, b_share: float = 0.6, large: float = 0.2) -> Column:
+    """A forced layout; ``JC`` without a camera; ``C`` for a small one; else ``B`` or ``C`` by a stable fraction."""
+    wide = F.when(F.coalesce(frame, F.lit(0)) > 0, F.coalesce(width, F.lit(0)) / F.when(frame > 0, frame) >= large).otherwise(F.coalesce(width, F.lit(0)) >= 450)
+    return (F.when(F.coalesce(F.trim(forced), F.lit("")) != "", F.upper(F.trim(forced))).when(~F.coalesce(cam, F.lit(False)), "JC")
+            .when(~wide, "C").when(fraction < b_share, "B").otherwise("C"))
+
+
 def colour_index(c: Column, colours: int = 12) -> Column:
     """A stable colour number: the MD5 of a name, as a number, modulo the number of colours."""
     h = F.md5(F.lower(c))

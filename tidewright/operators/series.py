@@ -205,3 +205,22 @@ def hour_cap(df: DataFrame, keys: list[str], start: str, score: str, tie: str, t
     hour = F.floor(F.col(start) / 3600)
     w = Window.partitionBy(*keys, hour).orderBy(F.desc(score), tie)
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top)
+
+
+def long_windup(anchor: Column, start: Column, end: Column, most: float = 0.75) -> Column:
+    """Whether the anchor comes late in a clip; true for an empty clip."""
+    length = F.greatest(F.lit(0.0), end - start)
+    return (length <= 0) | ((anchor - start) / F.when(length > 0, length) > most)
+
+
+def numbered(df: DataFrame, order: str, name: str, width: int = 4096) -> DataFrame:
+    """``df`` with the place of each row in the order of a whole-number column, from 0 on.
+
+    Rows are counted by ranges of ``width`` values; only these counts, one row per range, are summed up in one task.
+    Equal values take places in no set order.
+    """
+    d = df.withColumn("_b", F.floor(F.col(order) / width))
+    sums = F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    before = d.groupBy("_b").agg(F.count("*").alias("n")).select("_b", F.coalesce(sums, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1 + F.col("_before")
+    return d.join(before, "_b").withColumn(name, place.cast("long")).drop("_b", "_before")

@@ -9,7 +9,7 @@ from ..operators import arcs, clips, fixpoint, grouping, intervals, select, seri
 from ..registry import query
 from .base import BASE, chat, r6, ranges, scored, table, windows
 from .segment_queries import TURNS, chapters, turns
-from .selection_queries import _query_vector, _vectors, kept, resolutions, threaded
+from .selection_queries import CLUSTER, clusters, kept, resolutions, threaded
 from .series_queries import V, VC, salient
 
 CONFIG = clips.ClipConfig(min_score=0.2, context=1800.0, spacing=3600.0)
@@ -86,13 +86,12 @@ def i25(spark, sf):
     return clips.curate(ranges(spark, sf), V, 10.0, 600.0, 12.0, 8.0, 7200.0, 86400.0).select("vod", "start", "end", "topic")
 
 
-@query("i15_attach_cluster")
+@query("i15_attach_cluster", CLUSTER + """, sz as (select chapter, part, cluster, count(*) as size from cl group by all having count(*) >= 2)
+ select id, coalesce(sz.cluster, -1)::bigint as cluster, coalesce(size, 1)::bigint as size from cl left join sz using (chapter, part, cluster)""")
 def i15(spark, sf):
-    v = _vectors(spark, sf)
-    c = vectors.cluster_threshold(v, ["chapter"], "id", 0.3)
-    n = c.groupBy("chapter", "cluster").agg(F.count("*").alias("size")).where("size >= 2")
-    return v.select("id", "chapter").join(c.join(n, ["chapter", "cluster"]), ["id", "chapter"], "left").select(
-        "id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+    c, key = clusters(spark, sf), ["chapter", "part", "cluster"]
+    n = c.groupBy(*key).agg(F.count("*").alias("size")).where("size >= 2").withColumn("found", F.col("cluster"))
+    return c.join(n, key, "left").select("id", F.coalesce("found", F.lit(-1).cast("long")).alias("cluster"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
 
 
 @query("h05_smooth_sections")

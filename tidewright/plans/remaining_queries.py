@@ -12,7 +12,7 @@ from ..sources import files, sinks
 from ..streaming import sessions
 from .base import BASE, chat, r6, ranges, scored, table, windows
 from .segment_queries import CHAPTERS, TURNS, chapters, turns
-from .selection_queries import KEEP, THREAD, _query_vector, _vectors, kept, threaded
+from .selection_queries import THREAD, _vectors, threaded
 from .series_queries import V, VC
 from .source_queries import chat_json
 
@@ -40,11 +40,6 @@ def a15(spark, sf):
     return files.parse_manifest(d, keep=("vod",)).select("vod", "start", "end")
 
 
-@query("a23_sink_sections_json", THREAD + "select vod, chapter, count(distinct thread) as sections from th group by all")
-def a23(spark, sf):
-    return threaded(spark, sf).groupBy(*VC).agg(F.countDistinct("thread").alias("sections"))
-
-
 @query("a26_sink_arc_manifests")
 def a26(spark, sf):
     m = intervals.merge_gap(ranges(spark, sf), V, 120.0)
@@ -58,16 +53,6 @@ def a27(spark, sf):
     return ranges(spark, sf).groupBy("vod").agg(F.count("*").alias("arcs"), F.sum(F.col("end") - F.col("start")).alias("total"))
 
 
-@query("a29_export_search", "select doc_id, substr(coalesce(text, ''), 1, 200) as preview from documents order by doc_id limit 1000")
-def a29(spark, sf):
-    return table(spark, sf, "documents").orderBy("doc_id").limit(1000).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("preview"))
-
-
-@query("a30_export_full_vod", BASE + "select vod, count(*) as documents, sum(reactions)::bigint as reactions from win group by vod")
-def a30(spark, sf):
-    return windows(spark, sf).groupBy("vod").agg(F.count("*").alias("documents"), F.sum("reactions").cast("long").alias("reactions"))
-
-
 @query("a33_downloader_chat_clean", BASE + "select vod, count(*) as n from chat where not regexp_matches(kind, 'is gifting|gifted') group by vod")
 def a33(spark, sf):
     d = files.parse_chat(chat_json(spark, sf), keep=("vod",))
@@ -138,11 +123,6 @@ def l20(spark, sf):
     return d.select(F.concat_ws(":", "vod", F.lit("mom"), "m.kind", "m.sec").alias("id"), "vod", F.col("m.kind").alias("kind"))
 
 
-@query("o12_clear_vod", BASE + "select event_id, case when vod = '2024-01-03' then 'failed' else 'pending' end as state from chat where kind = 'error'")
-def o12(spark, sf):
-    return chat(spark, sf).where("kind = 'error'").select("event_id", F.when(F.col("vod") == "2024-01-03", "failed").otherwise("pending").alias("state"))
-
-
 @query("o01_sliding_windows", """select w as start, count(*) as messages from (select unnest([time_bucket(interval 1 hour, ts), time_bucket(interval 1 hour, ts) - interval 1 hour]) as w from events) group by w""")
 def o01_sliding(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -154,12 +134,6 @@ def s05(spark, sf):
     return turns(spark, sf).groupBy("conv_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-@query("s06_ordered_ids", "select vec_id, row_number() over (order by vec_id) - 1 as place from embeddings")
-def s06(spark, sf):
-    ids = _vectors(spark, sf).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return ids.select(F.posexplode("ids").alias("p", "vec_id")).select("vec_id", F.col("p").cast("long").alias("place"))
-
-
 @query("s07_transcript_hms_range", TURNS + """select conv_id, turn from tr where start < 90 and "end" > 30""")
 def s07(spark, sf):
     lo, hi = timecode.hms_seconds(F.lit("00:00:30")), timecode.hms_seconds(F.lit("00:01:30"))
@@ -241,12 +215,6 @@ def s31(spark, sf):
     return d.where(F.col("last_ts") < F.lit("2024-01-29 00:00:00").cast("timestamp_ntz")).select("user_id")
 
 
-@query("s33_chat_prompt", BASE + "select vod, win, count(*) as lines from (select vod, sec // 1800 as win from chat) group by all")
-def s33(spark, sf):
-    d = chat(spark, sf).groupBy("vod", F.floor(F.col("sec") / 1800).alias("win")).agg(F.array_join(F.collect_list("kind"), "\n").alias("p"))
-    return d.select("vod", "win", F.size(F.split("p", "\n")).cast("long").alias("lines"))
-
-
 @query("k05_c_unit_scores", BASE + "select vod, win, round(reactions / max(reactions) over (partition by vod)::double, 6) as u from win qualify max(reactions) over (partition by vod) > 0")
 def k05c(spark, sf):
     return windows(spark, sf).select("vod", "win", r6(series.max_normalise("reactions", V)).alias("u"))

@@ -135,12 +135,6 @@ def g14(spark, sf):
         F.max_by((F.col("start") + F.col("end")) / 2, F.struct("reactions", -F.col("win"))).alias("centre"))
 
 
-@query("g17_layout_choice", BASE + """select event_id, round(('0x' || substr(sha256(vod || '|' || start::bigint || '|' || "end"::bigint), 1, 8))::bigint / 4294967296.0::double, 6) as fraction from rng""")
-def g17(spark, sf):
-    f = text.layout_fraction(F.col("vod"), F.col("start").cast("long"), F.col("end").cast("long"))
-    return ranges(spark, sf).select("event_id", r6(f).alias("fraction"))
-
-
 @query("g18_topn", BASE + "select event_id, value from chat order by value desc, event_id limit 25")
 def g18(spark, sf):
     return chat(spark, sf).orderBy(F.desc("value"), "event_id").limit(25).select("event_id", "value")
@@ -310,15 +304,17 @@ def _vectors(spark, sf):
     return e.select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("chapter"))
 
 
-def _query_vector(spark, sf):
-    row = table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()
-    return list(row[0]) if row else [0.0]
+def parts(spark, sf):
+    """Vectors with a session of 250 ids each."""
+    return _vectors(spark, sf).withColumn("part", F.floor(F.col("id") / 250))
 
 
 @query("i02_cosine_pairs", """select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as sim
- from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id""")
+ from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id and b.vec_id - a.vec_id <= 60""")
 def i02(spark, sf):
-    return vectors.pairs(_vectors(spark, sf), ["chapter"]).select("a", "b", r6("sim").alias("sim"))
+    """Rows of a chapter at most 60 places apart, so pairs grow with the rows and not with their square."""
+    d = _vectors(spark, sf).withColumn("t", F.col("id").cast("double"))
+    return vectors.pairs(d, ["chapter"], "t", 60.0).select("a", "b", r6("sim").alias("sim"))
 
 
 @query("i05_metadata_filter", BASE + """select id from win where mode = 'game' and start between 20000 and 60000 and vod = '2024-01-05'""")
@@ -347,20 +343,33 @@ def i08(spark, sf):
     return d.select("doc_id", r6(s).alias("score"))
 
 
-@query("i13_pairwise_matrix", """select a.label as chapter, count(*) as n, round(max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 6) as best
- from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id group by a.label""")
+@query("i13_pairwise_matrix", """select a.label as chapter, a.vec_id // 250 as part, count(*) as n, round(max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 6) as best
+ from embeddings a join embeddings b on a.label = b.label and a.vec_id // 250 = b.vec_id // 250 and a.vec_id < b.vec_id group by all""")
 def i13(spark, sf):
-    return vectors.pairs(_vectors(spark, sf), ["chapter"]).groupBy("chapter").agg(F.count("*").alias("n"), r6(F.max("sim")).alias("best"))
+    """The matrix of a session's rows of one chapter (250 ids a session), whose size does not grow with the table."""
+    d = parts(spark, sf)
+    return vectors.pairs(d, ["chapter", "part"]).groupBy("chapter", "part").agg(F.count("*").alias("n"), r6(F.max("sim")).alias("best"))
+
+
+CLUSTER = """with recursive ls as (select label, vec_id // 250 as part, list(vec_id order by vec_id) as ids, list(embedding::double[] order by vec_id) as vs, count(*) as n from embeddings group by all),
+ f as (select label, part, 0::bigint as i, cast([] as bigint[]) as cs from ls union all
+  select label, part, i + 1, list_append(cs, coalesce(list_min(list_filter(cs, lambda c, j: list_cosine_similarity(vs[j], vs[i + 1]) >= 0.3)), list_max(cs) + 1, 0)) from f join ls using (label, part) where i < n),
+ cl as (select label as chapter, part, unnest(ids) as id, unnest(cs) as cluster from f join ls using (label, part) where i = n)
+"""
 
 
-@query("i14_cluster_threshold")
+def clusters(spark, sf):
+    return vectors.cluster_threshold(parts(spark, sf), ["chapter", "part"], "id", 0.3)
+
+
+@query("i14_cluster_threshold", CLUSTER + "select chapter, part, id, cluster from cl")
 def i14(spark, sf):
-    return vectors.cluster_threshold(_vectors(spark, sf), ["chapter"], "id", 0.3)
+    return clusters(spark, sf)
 
 
-@query("i16_coherence")
+@query("i16_coherence", CLUSTER + """select chapter, part, count(*) filter (n >= 3) / count(*) as coherence from (select chapter, part, cluster, count(*) as n from cl group by all having count(*) >= 2) group by all""")
 def i16(spark, sf):
-    return vectors.coherence(vectors.cluster_threshold(_vectors(spark, sf), ["chapter"], "id", 0.3), ["chapter"])
+    return vectors.coherence(clusters(spark, sf), ["chapter", "part"])
 
 
 @query("i20_topic_sim", BASE + """select vod, win, case when p is null then 0.0 when p = topic then 1.0 else 0.0 end::double as sim from (select vod, win, topic, lag(topic) over (partition by vod order by win) as p from win)""")
@@ -558,11 +567,6 @@ def k04(spark, sf):
     return d.select("event_id", ((F.col("h") < 0.2) & (F.col("q") < 0.35) & (F.col("r") < 5)).alias("reject"))
 
 
-@query("k06_long_windup", BASE + """select event_id, (event_id % 100) / 100.0 > 0.75 as late from rng""")
-def k06(spark, sf):
-    return ranges(spark, sf).select("event_id", ((F.col("event_id") % 100) / 100.0 > 0.75).alias("late"))
-
-
 @query("k09_majority", BASE + """, c as (select vod, topic, count(*) as n, min(win) as first from win group by all) select vod, topic from c qualify row_number() over (partition by vod order by n desc, first) = 1""")
 def k09(spark, sf):
     return windows(spark, sf).groupBy("vod").agg(grouping.majority("topic", "win").alias("topic"))
