@@ -6,20 +6,31 @@ when their SimHash fingerprints are within the radius of :mod:`.simhash`.
 Fingerprints alone cannot do it: a similarity of 0.8 is about ten differing bits
 of 64.
 
-Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, so a pair
-of similarity 0.8 shares no key with a probability below 0.0001 and closer ones
-with less.  All candidates are verified on the whole shingle sets (64-bit hashes
-of the shingles).  Texts of equal fingerprint and equal set are folded first,
-and pairs that earlier links connect are not compared again.  A key of more than
-``PAIRS`` texts is compared in stars (``STARS`` turns with other centres); the
-pairs that are still unconnected then are compared one by one, so no verified
-link is lost, and the work is linear where a key's texts are near copies.
+Candidates share a rare shingle.  All shingles have one order, the frequent ones
+last; of a set of n shingles only the first n - ceil(0.8 n) + 1 are keys, and two
+sets of similarity 0.8 always share one of these, so no pair is missed.  A passage
+that many texts share is last in all of them and makes no candidates.  The order
+is right whatever it holds to be frequent; it takes shingles that one task meets
+often (``OFTEN``) and that make up at least one in ``SHARE`` of these.
+
+A shared key at places i and j leaves at most min(n - i, m - j) shingles that both
+sets can still share from there on; for the first key that a similar pair shares
+this is enough for 0.8, so other pairs are dropped unseen.  In particular the
+smaller set of a pair has the key among its first n - ceil(8/9 n) + 1.
+
+All candidates are verified on the whole shingle sets (64-bit hashes of the
+shingles).  Texts of equal fingerprint and equal set are folded first, and pairs
+that earlier links connect are not compared again.  A key of more than ``PAIRS``
+texts is compared in stars (``STARS`` turns with other centres); the pairs that
+are still unconnected then are compared one by one, so no link is lost, and the
+work is linear where a key's texts are near copies.
 
 Nulls, empty and blank texts have no shingles; their fingerprint links them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +43,11 @@ from .simhash import _components, _signed, fingerprint, kept_rows, links
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 5
+SHARE = 1 << 17
+OFTEN, HELD = 4, 1 << 21
 PAIRS = 16
 STARS = 3
-_STEP = 1 << 12
-_rng = np.random.default_rng(42)
-_ODD = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None]
-_MUL = (_rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1))[:, None]
-_FOLD = _rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_BAND = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, WIDTH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -67,11 +73,14 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), _STEP):
-        low = np.minimum(low, ((hashes[None, at:at + _STEP] ^ _XOR) * _MUL).min(axis=1))
-    return _mixed((low.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64) + _BAND)
+def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The first shingles in the order of all shingles: by count (zero but for those in the sorted ``frequent``), then by hash."""
+    keep = len(hashes) - math.ceil(least * len(hashes) - 1e-9) + 1
+    weight = np.zeros(len(hashes), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        weight = np.where(frequent[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, weight))[:keep]]
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -81,13 +90,45 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return shared >= least * (len(both) - shared)
 
 
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts hold, sorted, and how many: fewer than ``SHARE`` reach the driver, whatever the corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        held, size = [], 0
+
+        def often() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], ["h", "n"])
+
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()):
+                held.append(shingles(t.as_py()))
+                size += len(held[-1])
+                if size > HELD:
+                    yield often()
+                    held, size = [], 0
+        if held:
+            yield often()
+
+    found = cut(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    rows = found.where(F.col("n") * SHARE > total).toArrow()
+    release(found)
+    h, n = (rows.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
+
+
 def _profiles(docs: DataFrame, row: str) -> DataFrame:
-    """(row, doc_id, fp, set, n, bands) as :func:`.simhash.fingerprints`, with the hash, size and keys of the shingle set.
+    """(row, doc_id, fp, set, n, keys) as :func:`.simhash.fingerprints`, with the hash and size of the shingle set and its first shingles.
 
     ``row`` is the column of ``docs`` with the rows' numbers.
     """
     import xxhash
 
+    order = docs.sparkSession.sparkContext.broadcast(frequent(docs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for b in batches:
@@ -98,13 +139,13 @@ def _profiles(docs: DataFrame, row: str) -> DataFrame:
                 fps.append(_signed(fingerprint(text)))
                 sets.append(_signed(xxhash.xxh64_intdigest(hashes.tobytes())))
                 sizes.append(len(hashes))
-                keys.append(band_keys(hashes).view(np.int64) if len(hashes) else np.empty(0, np.int64))
+                keys.append(prefix(hashes, *order.value).view(np.int64) if len(hashes) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "fp", "set", "n", "bands"])
+                 pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "fp", "set", "n", "keys"])
 
     src = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "row long, doc_id long, fp long, set long, n int, bands array<long>")
+    return src.mapInArrow(run, "row long, doc_id long, fp long, set long, n int, keys array<long>")
 
 
 def _verified(docs: DataFrame, row: str, pairs: DataFrame) -> DataFrame:
@@ -131,8 +172,8 @@ def _verified(docs: DataFrame, row: str, pairs: DataFrame) -> DataFrame:
 
 def _candidates(hits: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b, u, v) of one turn: small keys whole in the first, stars of large ones, and after the stars what is left of them."""
-    named = cut(hits.join(roots, hits.fp == roots.node, "left").select("key", "row", "fp", "n", F.coalesce("root", "fp").alias("root")))
-    me = F.struct("row", "fp", "n", "root")
+    named = cut(hits.join(roots, hits.fp == roots.node, "left").select("key", "row", "fp", "n", "pos", F.coalesce("root", "fp").alias("root")))
+    me = F.struct("row", "fp", "n", "pos", "root")
     rank = F.col("row") if turn == 0 else F.xxhash64("row", "key", F.lit(turn))
     keys = named.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"),
                                     F.min_by(me, F.struct(rank, "row")).alias("x")).where("lo <> hi").drop("lo", "hi")
@@ -145,9 +186,11 @@ def _candidates(hits: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
         parts.append(large.select("key", "x").join(mine, "key"))
     if turn in (0, STARS):
         members = mine.join(whole.select("key"), "key", "left_semi")
-        parts.append(members.withColumnRenamed("y", "x").join(members, "key").where("x.row < y.row"))
+        smaller = members.where((1 + SIMILARITY) * (F.col("y.n") - F.col("y.pos")) >= 2 * SIMILARITY * F.col("y.n") - 1e-6)
+        parts.append(smaller.withColumnRenamed("y", "x").join(members, "key").where(F.struct("x.n", "x.row") < F.struct("y.n", "y.row")))
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    near = F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n")
+    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    near = (1 + SIMILARITY) * left >= SIMILARITY * (F.col("x.n") + F.col("y.n")) - 1e-6
     low, high = F.least("x", "y"), F.greatest("x", "y")
     every = every.where((F.col("x.root") != F.col("y.root")) & near).select(low.alias("x"), high.alias("y"))
     return cut(every.select(F.col("x.row").alias("a"), F.col("y.row").alias("b"), F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).distinct())
@@ -158,8 +201,8 @@ def _roots(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
     fps = cut(rows.select("fp").distinct())
     edges = cut(links(fps))
     roots = components(edges)
-    classes = rows.where("n > 0").groupBy("fp", "set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keys = cut(classes.select(F.explode("bands").alias("key"), "row", "fp", "n"))
+    classes = rows.where("n > 0").groupBy("fp", "set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keys = cut(classes.select(F.posexplode("keys").alias("pos", "key"), "row", "fp", "n"))
     shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
     hits = cut(keys.join(shared, "key", "left_semi"))
     release(keys)

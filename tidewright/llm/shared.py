@@ -11,9 +11,11 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILES = 1 << 20
 _own: dict[str, str] = {}
 _tables: list[tuple[SparkSession, str]] = []
 
@@ -66,13 +68,34 @@ def free_name(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` is a row of one Parquet scan, so that file and place in it tell rows apart."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" and "_metadata" not in {c.lower() for c in docs.columns}
+
+
 def numbered(docs: DataFrame, row: str) -> DataFrame:
-    """``docs`` with a number ``row`` per row, written once.
+    """``docs`` with a number ``row`` per row that is the same whenever and however it is read.
 
-    Numbers follow the split of the scan, which depends on the executors that
-    are alive when a job is planned.  They are therefore taken a single time
-    and kept as a column of a table; nothing numbers the same rows again.
+    Numbers that follow the split of a scan change with the executors that are
+    alive when a job is planned.  Rows of a Parquet scan are numbered by their
+    file, in order of the files' names (fewer than ``FILES``, of which the driver
+    holds the list anyway to plan a scan), and their place in it, below 2^40.
+    Any other frame is numbered once and kept as a table.
     """
+    if _plain_scan(docs):
+        at, file, n = (free_name(x, docs) for x in ("_at", "_file", "_n"))
+        try:
+            placed = docs.withColumns({file: F.col("_metadata.file_path"), at: F.col("_metadata.row_index")})
+            files = sorted(r[0] for r in placed.select(file).distinct().collect())
+        except AnalysisException:  # a format whose rows have no numbers
+            return cut(docs.withColumn(row, F.monotonically_increasing_id()))
+        if len(files) < FILES:
+            order = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{n} long, {file} string")
+            out = placed.join(F.broadcast(order), file)
+            return out.withColumn(row, F.shiftleft(n, 40) + F.col(at)).select(*docs.columns, row)
     return cut(docs.withColumn(row, F.monotonically_increasing_id()))
 
 
