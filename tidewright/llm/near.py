@@ -20,10 +20,11 @@ smaller set of a pair has the key among its first n - ceil(8/9 n) + 1.
 
 All candidates are verified on the whole shingle sets (64-bit hashes of the
 shingles).  Texts of equal fingerprint and equal set are folded first, and pairs
-that earlier links connect are not compared again.  A key of more than ``PAIRS``
-texts is compared in stars (``STARS`` turns with other centres); the pairs that
-are still unconnected then are compared one by one, so no link is lost, and the
-work is linear where a key's texts are near copies.
+that links of earlier turns connect are not compared again.  A key of more than
+``PAIRS`` texts is compared in stars (up to ``STARS`` turns with other centres, as
+long as they find links); the pairs that are still unconnected then are compared
+one by one, so no link is lost, and the work is linear where a key's texts are
+near copies.
 
 Nulls, empty and blank texts have no shingles; their fingerprint links them.
 """
@@ -200,23 +201,26 @@ def _roots(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
     """(node, root) of the fingerprints that are linked with others."""
     fps = cut(rows.select("fp").distinct())
     edges = cut(links(fps))
-    roots = components(edges)
+    roots = fps.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
     classes = rows.where("n > 0").groupBy("fp", "set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     keys = cut(classes.select(F.posexplode("keys").alias("pos", "key"), "row", "fp", "n"))
     shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
     hits = cut(keys.join(shared, "key", "left_semi"))
     release(keys)
-    for turn in range(STARS + 1):
+    turn = 0
+    while turn <= STARS:
         pairs = _candidates(hits, roots, turn)
-        if not pairs.isEmpty():
-            new = _verified(docs, row, pairs)
-            if not new.isEmpty():
-                edges = cut(edges.union(new))
-                roots = components(edges)
+        new = None if pairs.isEmpty() else _verified(docs, row, pairs)
+        found = new is not None and not new.isEmpty()
+        if found:
+            edges = cut(edges.union(new))
+        if found or turn == 0:
+            roots = components(edges)
         if turn == 0:
             hits = cut(hits.join(hits.groupBy("key").count().where(F.col("count") > PAIRS).select("key"), "key", "left_semi"))
         if hits.isEmpty():
             break
+        turn = turn + 1 if found or turn == STARS else STARS
     return roots
 
 
