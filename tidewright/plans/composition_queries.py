@@ -86,10 +86,10 @@ def i25(spark, sf):
     return clips.curate(ranges(spark, sf), V, 10.0, 600.0, 12.0, 8.0, 7200.0, 86400.0).select("vod", "start", "end", "topic")
 
 
-@query("i15_attach_cluster", CLUSTER + """, sz as (select chapter, part, cluster, count(*) as size from cl group by all having count(*) >= 2)
- select id, coalesce(sz.cluster, -1)::bigint as cluster, coalesce(size, 1)::bigint as size from cl left join sz using (chapter, part, cluster)""")
+@query("i15_attach_cluster", CLUSTER + """, sz as (select chapter, cluster, count(*) as size from cl group by all having count(*) >= 2)
+ select id, coalesce(sz.cluster, -1)::bigint as cluster, coalesce(size, 1)::bigint as size from cl left join sz using (chapter, cluster)""")
 def i15(spark, sf):
-    c, key = clusters(spark, sf), ["chapter", "part", "cluster"]
+    c, key = clusters(spark, sf), ["chapter", "cluster"]
     n = c.groupBy(*key).agg(F.count("*").alias("size")).where("size >= 2").withColumn("found", F.col("cluster"))
     return c.join(n, key, "left").select("id", F.coalesce("found", F.lit(-1).cast("long")).alias("cluster"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
 

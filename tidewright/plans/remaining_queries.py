@@ -40,19 +40,6 @@ def a15(spark, sf):
     return files.parse_manifest(d, keep=("vod",)).select("vod", "start", "end")
 
 
-@query("a26_sink_arc_manifests")
-def a26(spark, sf):
-    m = intervals.merge_gap(ranges(spark, sf), V, 120.0)
-    st = intervals.shape_stats(m, V)
-    rows = F.array_sort(F.collect_list(F.struct("start", "end")))
-    return m.groupBy("vod").agg(rows.alias("ranges")).join(st, "vod").select("vod", F.to_json(F.struct("ranges", "span", "total", "contiguity")).alias("json"))
-
-
-@query("a27_sink_llm_arc_manifest", BASE + """select vod, count(*) as arcs, sum("end" - start) as total from rng group by vod""")
-def a27(spark, sf):
-    return ranges(spark, sf).groupBy("vod").agg(F.count("*").alias("arcs"), F.sum(F.col("end") - F.col("start")).alias("total"))
-
-
 @query("a33_downloader_chat_clean", BASE + "select vod, count(*) as n from chat where not regexp_matches(kind, 'is gifting|gifted') group by vod")
 def a33(spark, sf):
     d = files.parse_chat(chat_json(spark, sf), keep=("vod",))
@@ -72,13 +59,6 @@ def e06(spark, sf):
                                 F.col("b_end"), 21600.0, False).select("event_id", "chapter")
 
 
-@query("g15_select_cam")
-def g15(spark, sf):
-    """Per session the best pictures, no two of one kind next to each other in time."""
-    c = chat(spark, sf).withColumn("start", F.col("sec").cast("double"))
-    return select.topk_spaced(c, ["vod", "kind"], "value", "start", 3, 0, 3600.0, ["value"]).select("vod", "kind", "pos", "start", "value")
-
-
 @query("g16_title_rerank", BASE + "select event_id, row_number() over (partition by vod order by score desc, event_id) as place from rng")
 def g16(spark, sf):
     n = F.row_number().over(Window.partitionBy("vod").orderBy(F.desc("score"), "event_id"))

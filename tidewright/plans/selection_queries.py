@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import arcs, grouping, intervals, select, series, vectors
+from ..operators import arcs, grouping, intervals, select, series, similar, vectors
 from ..registry import query
 from .base import BASE, chat, r6, ranges, scored, table, windows
 from .segment_queries import MERGED
@@ -304,11 +304,6 @@ def _vectors(spark, sf):
     return e.select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("chapter"))
 
 
-def parts(spark, sf):
-    """Vectors with a session of 250 ids each."""
-    return _vectors(spark, sf).withColumn("part", F.floor(F.col("id") / 250))
-
-
 @query("i02_cosine_pairs", """select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as sim
  from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id and b.vec_id - a.vec_id <= 60""")
 def i02(spark, sf):
@@ -343,33 +338,42 @@ def i08(spark, sf):
     return d.select("doc_id", r6(s).alias("score"))
 
 
-@query("i13_pairwise_matrix", """select a.label as chapter, a.vec_id // 250 as part, count(*) as n, round(max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 6) as best
- from embeddings a join embeddings b on a.label = b.label and a.vec_id // 250 = b.vec_id // 250 and a.vec_id < b.vec_id group by all""")
+LINKED = 0.3
+
+
+def linked(spark, sf):
+    """The pairs of a chapter's rows whose cosine reaches the threshold."""
+    return similar.links(_vectors(spark, sf), ["chapter"], LINKED)
+
+
+@query("i13_pairwise_matrix", f"""with p as (select a.label as chapter, a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as sim
+  from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id)
+ select label as chapter, vec_id as id, count(b) as n_links, round(max(sim), 6) as best from embeddings left join p on p.a = vec_id and sim >= {LINKED} group by all""")
 def i13(spark, sf):
-    """The matrix of a session's rows of one chapter (250 ids a session), whose size does not grow with the table."""
-    d = parts(spark, sf)
-    return vectors.pairs(d, ["chapter", "part"]).groupBy("chapter", "part").agg(F.count("*").alias("n"), r6(F.max("sim")).alias("best"))
+    """The matrix of whole chapters above the threshold, told per row: its links and the nearest of them."""
+    d = _vectors(spark, sf)
+    return similar.degrees(d, linked(spark, sf), ["chapter"]).select("chapter", "id", "n_links", r6("best").alias("best"))
 
 
-CLUSTER = """with recursive ls as (select label, vec_id // 250 as part, list(vec_id order by vec_id) as ids, list(embedding::double[] order by vec_id) as vs, count(*) as n from embeddings group by all),
- f as (select label, part, 0::bigint as i, cast([] as bigint[]) as cs from ls union all
-  select label, part, i + 1, list_append(cs, coalesce(list_min(list_filter(cs, lambda c, j: list_cosine_similarity(vs[j], vs[i + 1]) >= 0.3)), list_max(cs) + 1, 0)) from f join ls using (label, part) where i < n),
- cl as (select label as chapter, part, unnest(ids) as id, unnest(cs) as cluster from f join ls using (label, part) where i = n)
+CLUSTER = f"""with recursive ls as (select label, list(vec_id order by vec_id) as ids, list(embedding::double[] order by vec_id) as vs, count(*) as n from embeddings group by all),
+ f as (select label, 0::bigint as i, cast([] as bigint[]) as cs from ls union all
+  select label, i + 1, list_append(cs, coalesce(list_min(list_filter(cs, lambda c, j: list_cosine_similarity(vs[j], vs[i + 1]) >= {LINKED})), list_max(cs) + 1, 0)) from f join ls using (label) where i < n),
+ cl as (select label as chapter, unnest(ids) as id, unnest(cs) as cluster from f join ls using (label) where i = n)
 """
 
 
 def clusters(spark, sf):
-    return vectors.cluster_threshold(parts(spark, sf), ["chapter", "part"], "id", 0.3)
+    return similar.first_fit(_vectors(spark, sf), linked(spark, sf), ["chapter"])
 
 
-@query("i14_cluster_threshold", CLUSTER + "select chapter, part, id, cluster from cl")
+@query("i14_cluster_threshold", CLUSTER + "select chapter, id, cluster from cl")
 def i14(spark, sf):
     return clusters(spark, sf)
 
 
-@query("i16_coherence", CLUSTER + """select chapter, part, count(*) filter (n >= 3) / count(*) as coherence from (select chapter, part, cluster, count(*) as n from cl group by all having count(*) >= 2) group by all""")
+@query("i16_coherence", CLUSTER + """select chapter, count(*) filter (n >= 3) / count(*) as coherence from (select chapter, cluster, count(*) as n from cl group by all having count(*) >= 2) group by all""")
 def i16(spark, sf):
-    return vectors.coherence(clusters(spark, sf), ["chapter", "part"])
+    return vectors.coherence(clusters(spark, sf), ["chapter"])
 
 
 @query("i20_topic_sim", BASE + """select vod, win, case when p is null then 0.0 when p = topic then 1.0 else 0.0 end::double as sim from (select vod, win, topic, lag(topic) over (partition by vod order by win) as p from win)""")
