@@ -96,13 +96,6 @@ def l16(spark, sf):
     return chat(spark, sf).select("event_id", F.concat_ws(" ", stamp, label).alias("line"))
 
 
-@query("l20_moment_documents", BASE + "select vod || ':mom:' || kind || ':' || sec as id, vod, kind from chat where kind in ('error', 'purchase')")
-def l20(spark, sf):
-    lists = [F.collect_list(F.when(F.col("kind") == k, F.struct(F.col("kind"), F.col("sec")))).alias(k) for k in ("error", "purchase")]
-    d = chat(spark, sf).groupBy("vod").agg(*lists).select("vod", F.explode(F.concat("error", "purchase")).alias("m"))
-    return d.select(F.concat_ws(":", "vod", F.lit("mom"), "m.kind", "m.sec").alias("id"), "vod", F.col("m.kind").alias("kind"))
-
-
 @query("o01_sliding_windows", """select w as start, count(*) as messages from (select unnest([time_bucket(interval 1 hour, ts), time_bucket(interval 1 hour, ts) - interval 1 hour]) as w from events) group by w""")
 def o01_sliding(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))

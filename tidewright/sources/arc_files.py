@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timecode import format_hms
+from .store import part
 
 
 def write_items(items: DataFrame, path: str) -> None:
@@ -21,9 +22,9 @@ def write_items(items: DataFrame, path: str) -> None:
 def read_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(vod, item, file, parsed) of the items that were written; ``file`` is the folder below the store's items."""
     text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    file = F.regexp_extract(F.col("_metadata.file_path"), r"(vod=[^/]*/item=[^/]*)/[^/]*$", 1)
-    d = text.select(file.alias("file"), F.from_json("value", schema).alias("parsed"))
-    return d.select(F.url_decode(F.regexp_extract("file", "vod=([^/]*)/", 1)).alias("vod"), F.url_decode(F.regexp_extract("file", "item=([^/]*)$", 1)).alias("item"), "file", "parsed")
+    path = F.col("_metadata.file_path")
+    file = F.regexp_extract(path, r"(vod=[^/]*/item=[^/]*)/[^/]*$", 1)
+    return text.select(part(path, "vod").alias("vod"), part(path, "item").alias("item"), file.alias("file"), F.from_json("value", schema).alias("parsed"))
 
 
 def write_store(items: DataFrame, path: str, schema: str, entry: list[Column], line: Column, head: dict[str, Column]) -> None:

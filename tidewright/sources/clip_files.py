@@ -9,9 +9,11 @@ begins - is not lost silently: it goes to a side output with its reason.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .store import part
+
 CLIP = "struct<start_time:double,end_time:double,title:string,score:double>"
 FILE = f"missed_highlights array<{CLIP}>, total_evaluated long, rejection_summary string, _broken string"
 UNIFIED = "direct_ai"
@@ -22,16 +24,11 @@ def write(lists: DataFrame, path: str) -> None:
     lists.select("vod", "chapter", F.col("json").alias("value")).repartition("vod", "chapter").write.mode("overwrite").partitionBy("vod", "chapter").text(path)
 
 
-def _part(path: Column, name: str) -> Column:
-    raw = F.regexp_extract(path, f"/{name}=([^/]*)/", 1)
-    return F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(vod, chapter, file, parsed) of every chapter's file; a session's own unified file is passed over."""
     text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     parsed = F.from_json("value", FILE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("parsed")
-    return text.select(_part(F.col("file"), "vod").alias("vod"), _part(F.col("file"), "chapter").alias("chapter"), "file", parsed).where(F.col("chapter") != UNIFIED)
+    return text.select(part(F.col("file"), "vod").alias("vod"), part(F.col("file"), "chapter").alias("chapter"), "file", parsed).where(F.col("chapter") != UNIFIED)
 
 
 def _clips(files: DataFrame) -> DataFrame:

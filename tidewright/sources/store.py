@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
@@ -35,6 +36,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def part(path: Column, name: str) -> Column:
+    """The value that a partition column ``name`` has in a file's path (a URI), as it was written."""
+    raw = F.regexp_extract(path, f"/{name}=([^/]*)/", 1)
+    for _ in range(2):  # once for the URI, once for the folder's name
+        raw = F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+    return raw
+
+
 def drop(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
