@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import text, timecode
-from tidewright.operators import arcs, clips, fixpoint, grouping, intervals, segments, select, series, vectors
+from tidewright.operators import arcs, clips, fixpoint, grouping, intervals, segments, select, semantic, series, vectors
 from tidewright.sources import files, sinks
 from tidewright.streaming import sessions
 
@@ -207,10 +207,31 @@ def test_fixpoints(spark):
     d = frame(spark, w, "vod string, id string, start double, end double, topic string, same_prev boolean, burst double, z double, reactions int, confidence double")
     got = rows(fixpoint.smooth_sections(d, ["vod"]), "section", "n", "first", "last")
     assert sum(g[1] for g in got) == 8 and got[0][2] == "w0" and got[-1][3] == "w7"
-    r = [("a", i * 60.0, i * 60.0 + 60, "t", "c", role, "high" if role == "peak" else "low", 0.9 if role == "peak" else 0.0)
-         for i, role in enumerate(["build_up", "peak", "resolution", "filler"])]
-    a = frame(spark, r, "vod string, start double, end double, topic string, chapter string, role string, energy string, avg_z double")
-    assert rows(fixpoint.clutch_arcs(a, ["vod"], 120.0, 180.0, like=0.9), "start", "end", "n") == [(0.0, 180.0, 3)]
+    def arcs_of(vectors):
+        r = [("a", f"r{i}", i * 60.0, i * 60.0 + 60, "t", "c", role, "high" if role == "peak" else "low", 0.9 if role == "peak" else 0.0, v)
+             for i, (role, v) in enumerate(zip(["build_up", "peak", "resolution", "filler", "filler"], vectors))]
+        a = frame(spark, r, "vod string, id string, start double, end double, topic string, chapter string, role string, energy string, avg_z double, vector array<double>")
+        return rows(fixpoint.clutch_arcs(a, ["vod"], 120.0, 300.0, like=0.9), "start", "end", "n", "members")
+
+    # past the ending's neighbour only what is alike goes on: 0.7 (cos + 1) / 2 + 0.3 for touching ranges of one topic
+    assert arcs_of([None] * 5) == [(0.0, 240.0, 4, ["r0", "r1", "r2", "r3"])]
+    assert arcs_of([[1.0, 0.0]] * 5) == [(0.0, 300.0, 5, ["r0", "r1", "r2", "r3", "r4"])]
+    assert arcs_of([[1.0, 0.0]] * 4 + [[0.0, 1.0]]) == [(0.0, 240.0, 4, ["r0", "r1", "r2", "r3"])]
+
+
+def test_flatten_by_members(spark):
+    def w(i, start, end, vector, block, topic="t", energy="low", reactions=0):
+        return ("a", f"w{i}", start, end, topic, energy, block, reactions, vector, True)
+
+    data = [w(0, 0.0, 10.0, [1.0, 0.0], "A", "", "low"), w(1, 15.0, 20.0, [0.0, 1.0], "A", "x", "high", 2),  # at once in its block
+            w(2, 500.0, 510.0, [0.9, 0.1], "B", "y"),  # like the first member, not the last
+            w(3, 515.0, 520.0, [-1.0, -1.0], "B", "y"),  # block of the range's first row is A
+            w(4, 521.0, 522.0, None, "B", "z"), w(5, 600.0, 601.0, None, None, None), w(6, 605.0, 606.0, None, None, None)]
+    d = frame(spark, data + [("a", "w7", 607.0, 608.0, "t", "low", None, 0, None, False)],
+              "vod string, id string, start double, end double, topic string, energy string, block string, reactions int, vector array<double>, keep boolean")
+    got = semantic.flatten(d, ["vod"], "keep", 8.0)
+    assert rows(got, "burst_ids", "topic", "energy", "anchor", "end") == [
+        (["w0", "w1", "w2"], "x", "high", "w1", 510.0), (["w3", "w4"], "y", "low", None, 522.0), (["w5", "w6"], "", "low", None, 606.0)]
 
 
 def test_vectors(spark):

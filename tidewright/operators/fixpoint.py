@@ -204,11 +204,14 @@ def merge_short_chapters(df: DataFrame, keys: list[str], minutes: float) -> Data
     return df.select(*keys, "start", "end", "name").groupBy(*keys).applyInPandas(run, schema)
 
 
-def clutch_arcs(df: DataFrame, keys: list[str], least: float, most: float, like: float = 0.55, grace: float = 240.0, ahead: float = 120.0) -> DataFrame:
+def clutch_arcs(df: DataFrame, keys: list[str], least: float, most: float, like: float = 0.55, grace: float = 240.0, ahead: float = 120.0,
+                tau: float = 600.0) -> DataFrame:
     """Arcs around peaks: a peak grows to the left over build-up or similar ranges until ``least``, to the right over
     endings, active neighbours or similar ranges until ``most``, and past it only to an ending within the grace.
 
-    ``df`` has start, end, topic, chapter, role, energy, avg_z.  An arc uses up the ranges within its span.
+    ``df`` has id, start, end, topic, chapter, role, energy, avg_z and vector (null: like nothing).  Ranges are alike by
+    their cosine, their distance in time and their topic.  An arc uses up the ranges within its span; ``members`` are
+    its ids in order.
     """
     kinds = dict(df.dtypes)
 
@@ -216,13 +219,19 @@ def clutch_arcs(df: DataFrame, keys: list[str], least: float, most: float, like:
         r = pdf.sort_values(["start", "end"]).reset_index(drop=True)
         s, e = r["start"].to_numpy(float), r["end"].to_numpy(float)
         role, topic, chapter = r["role"].fillna("").tolist(), r["topic"].tolist(), r["chapter"].tolist()
+        vector = [None if v is None else np.asarray(v, float) for v in r["vector"]]
         peak = np.array([a == "peak" for a in role]) | ((r["avg_z"].to_numpy(float) >= 0.6) & (r["energy"] == "high").to_numpy())
         ending = np.array([a == "resolution" for a in role])
         active = np.array([a in ("peak", "conflict", "resolution") for a in role])
         used, out, n = np.zeros(len(r), bool), [], len(r)
 
         def sim(i: int, j: int) -> float:
-            return 0.35 + 0.2 * np.exp(-max(0.0, s[max(i, j)] - e[min(i, j)]) / 600.0) + 0.1 * (topic[i] == topic[j])
+            i, j = min(i, j), max(i, j)
+            a, b, cosine = vector[i], vector[j], -1.0
+            if a is not None and b is not None and a.any() and b.any():
+                cosine = float(a @ b / np.sqrt((a @ a) * (b @ b)))
+            same = bool(topic[i]) and topic[i] == topic[j]
+            return 0.7 * (cosine + 1) / 2 + 0.2 * np.exp(-max(0.0, s[j] - e[i]) / tau) + 0.1 * same
 
         for seed in np.flatnonzero(peak):
             if used[seed]:
@@ -245,9 +254,10 @@ def clutch_arcs(df: DataFrame, keys: list[str], least: float, most: float, like:
                 if total < most:
                     ok = ending[k] or active[max(0, k - 1):k + 2].any() or sim(members[-1], k) >= like
                 else:
-                    ok = ending[k] or (chapter[k] == chapter[members[0]] and sim(members[-1], k) >= like)
+                    first, last = members[0], members[-1]
+                    ok = ending[k] or (chapter[k] == chapter[first] and sim(last, k) >= like)
                     if not ok:
-                        stop = next((q for q in range(k, n) if chapter[q] != chapter[members[0]] or s[q] - e[members[-1]] > ahead), n)
+                        stop = next((q for q in range(k, n) if chapter[q] != chapter[first] or e[q] - s[last] > total + grace + 1 or s[q] - e[last] > ahead), n)
                         bridge = next((q for q in range(k, stop) if ending[q]), None)
                         if bridge is not None:
                             members += range(k, bridge + 1)
@@ -261,11 +271,12 @@ def clutch_arcs(df: DataFrame, keys: list[str], least: float, most: float, like:
                 k += 1
             if total >= max(0.65 * least, least - 60):
                 used |= (s >= s[members[0]]) & (e <= e[members[-1]])
-                out.append({**{c: r[c].iloc[0] for c in keys}, "start": s[members[0]], "end": e[members[-1]], "n": len(members), "total": total})
-        return pd.DataFrame(out, columns=[*keys, "start", "end", "n", "total"])
+                out.append({**{c: r[c].iloc[0] for c in keys}, "start": s[members[0]], "end": e[members[-1]], "n": len(members), "total": total,
+                            "members": r["id"].iloc[members].tolist()})
+        return pd.DataFrame(out, columns=[*keys, "start", "end", "n", "total", "members"])
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start double, end double, n long, total double"
-    cols = list(dict.fromkeys([*keys, "start", "end", "topic", "chapter", "role", "energy", "avg_z"]))
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", start double, end double, n long, total double, members array<{kinds['id']}>"
+    cols = list(dict.fromkeys([*keys, "id", "start", "end", "topic", "chapter", "role", "energy", "avg_z", "vector"]))
     return df.select(*cols).groupBy(*keys).applyInPandas(run, schema)
 
 

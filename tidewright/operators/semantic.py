@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold_runs
 from .vectors import cosine, dot, normalise
 
 
@@ -200,3 +201,31 @@ def pad_similar(df: DataFrame, keys: list[str], rid: str, keep: str, important:
         return F.struct(x["id"].alias(rid), (x["keep"] | F.exists("rows", told)).alias(keep))
 
     return d.select(*keys, F.explode(F.transform("rows", flagged)).alias("x")).select(*keys, f"x.{rid}", f"x.{keep}")
+
+
+def flatten(df: DataFrame, keys: list[str], keep: str, gap: float, least: float = 0.4) -> DataFrame:
+    """Ranges of kept rows: (keys, range, start, end, n, topic, energy, burst_ids, anchor).
+
+    A kept row joins the range before it if it is ``least`` similar to any row of that range, or if it has the block of
+    the range's first row (two nulls agree) and starts at most ``gap`` after its last row.  The topic is the most frequent
+    one (the first of equals; empty if there is none), the energy the highest, the anchor the first row with reactions.
+    ``df`` has id, start, end, topic, energy, block, reactions and vector.
+    """
+    from .grouping import energy_name, energy_rank
+
+    row = {"start": F.col("start"), "end": F.col("end"), "block": F.col("block"), "vectors": F.array(_unit()), "topics": F.array("topic"),
+           "energy": energy_rank(F.col("energy")), "ids": F.array("id"), "anchor": F.when(F.col("reactions") > 0, F.col("id"))}
+
+    def joins(a: Column, r: Column) -> Column:
+        like = F.exists(a["vectors"], lambda v: F.coalesce(dot(v, r["vectors"][0]), F.lit(-1.0)) >= least)
+        return like | (a["block"].eqNullSafe(r["block"]) & (F.greatest(F.lit(0.0), r["start"] - a["end"]) <= gap))
+
+    def grown(a: Column, r: Column) -> dict[str, Column]:
+        return {"end": r["end"], "energy": F.greatest(a["energy"], r["energy"]), "anchor": F.coalesce(a["anchor"], r["anchor"]),
+                **{n: F.concat(a[n], r[n]) for n in ("vectors", "topics", "ids")}}
+
+    runs = fold_runs(df.where(keep), keys, [F.col("start"), F.col("end")], row, joins, grown)
+    told = F.filter("topics", lambda t: F.length(t) > 0)
+    count = F.transform(told, lambda t: F.struct(F.size(F.filter(told, lambda o: o == t)).alias("n"), (-F.array_position(told, t)).alias("first"), t.alias("t")))
+    return runs.select(*keys, F.col("run").alias("range"), "start", "end", F.size("ids").cast("long").alias("n"), F.coalesce(F.array_max(count)["t"], F.lit("")).alias("topic"),
+                       energy_name(F.col("energy")).alias("energy"), F.col("ids").alias("burst_ids"), "anchor")

@@ -10,6 +10,7 @@ from ..registry import query
 from .base import BASE, chat, r6, ranges, scored, table, windows
 from .segment_queries import TURNS, chapters, turns
 from .selection_queries import CLUSTER, clusters, kept, resolutions, threaded
+from .semantic_queries import j13
 from .series_queries import V, VC, salient
 
 CONFIG = clips.ClipConfig(min_score=0.2, context=1800.0, spacing=3600.0)
@@ -99,12 +100,6 @@ def h05(spark, sf):
     return fixpoint.smooth_sections(threaded(spark, sf), VC)
 
 
-@query("h21_flatten_enh")
-def h21(spark, sf):
-    d = grouping.peak_blocks(kept(spark, sf), V, F.col("keep"), F.lit(3600.0))
-    return grouping.flatten(d, V, "keep", 3600.0, False).select("vod", "start", "end", "topic", "energy", F.size("burst_ids").cast("long").alias("n"))
-
-
 @query("h24_postprocess_ranges")
 def h24(spark, sf):
     """Flattened ranges with stats, a moved start and merged neighbours of one topic."""
@@ -116,26 +111,6 @@ def h24(spark, sf):
     return grouping.topic_continuity(d, V, 1800.0).select("vod", "start", "end", "topic", "energy", "n")
 
 
-@query("j02_clutch_arcs")
-def j02(spark, sf):
-    d = scored(spark, sf).withColumn("avg_z", F.col("z"))
-    return fixpoint.clutch_arcs(d, V, 3600.0, 9000.0, grace=1800.0, ahead=1800.0)
-
-
-@query("j13_detect_arcs")
-def j13(spark, sf):
-    """Clutch, thread and chapter arcs together, scored by contiguity, the best of overlapping ones kept by start."""
-    t = threaded(spark, sf)
-    a = fixpoint.clutch_arcs(t.withColumn("avg_z", F.col("z")), V, 3600.0, 9000.0, grace=1800.0, ahead=1800.0).select("vod", "start", "end")
-    b = arcs.thread_arcs(t, V, "thread", 3600.0, 9000.0).select("vod", "start", "end")
-    peak = arcs.is_peak_like(F.col("role"), F.col("z"), F.col("energy"))
-    c = arcs.chapter_arcs(t, V, "chapter", 7200.0, 21600.0, peak, F.col("role") == "conflict").select("vod", "start", "end")
-    every = a.unionByName(b).unionByName(c).distinct()
-    w = t.select("vod", F.col("start").alias("b_start"), F.col("end").alias("b_end"), "z")
-    scored_ = intervals.overlap_join(every, w, V, 3600.0).groupBy("vod", "start", "end").agg(r6(F.avg(F.greatest(F.lit(0.0), F.col("z")))).alias("score"))
-    return select.nms_start_order(scored_, V, "score").select("vod", "pos", "start", "end", "score")
-
-
 @query("j25_story_arcs")
 def j25(spark, sf):
     """Arcs per chapter: rounds where resolutions show them, else detected arcs, then the gaps, packed by length."""

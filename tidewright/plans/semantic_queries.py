@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import grouping, semantic, series, vectors
+from ..operators import detection, fixpoint, grouping, semantic, series, vectors
 from ..registry import query
 from .base import r6, table
 from .selection_queries import KEEP, MEASURES, THREAD, measured, threaded
@@ -148,3 +148,103 @@ def h12(spark, sf):
     d = sem(spark, sf).withColumn("keep", F.col("energy") == "high")
     important = F.col("role").isin("peak", "conflict", "resolution") | (F.col("reactions") > 6)
     return semantic.pad_similar(d, V, "win", "keep", important, F.col("mode") == "game", cap=1800.0)
+
+
+# --- ranges and arcs that know their members -------------------------------------------------------------------------------------
+
+FLAT = (THREAD + SEM.format(th="th")).strip().replace("with chat", "with recursive chat") + f""", fo as (select *, case when win % 5 <> 0 then 'B' || (win // 6) end as block from sem where win % 3 <> 1),
+ ls as (select vod, list(win order by win) as ids, list(v order by win) as vs, list(start order by win) as ss, list("end" order by win) as es, list(topic order by win) as ts, list(block order by win) as bs,
+  list(case energy when 'high' then 2 when 'low' then 0 else 1 end order by win) as gs, list(reactions order by win) as rs, count(*) as n from fo group by vod),
+ f as (select vod, 0::bigint as i, cast([] as bigint[][]) as ms from ls union all
+  select vod, i + 1, case when i > 0 and (len(list_filter(last, lambda j: {COS.format(a='vs[j]', b='vs[i + 1]')} >= 0.4)) > 0 or (bs[last[1]] is not distinct from bs[i + 1] and greatest(0.0, ss[i + 1] - es[last[len(last)]]) <= 8))
+   then list_append(ms[1:len(ms) - 1], list_append(last, i + 1)) else list_append(ms, [i + 1]) end from (select f.*, ms[len(ms)] as last from f) f join ls using (vod) where i < n),
+ r as (select vod, unnest(ms) as m, generate_subscripts(ms, 1) as range from f join ls using (vod) where i = n),
+ x as (select r.vod, r.range, m, unnest(m) as j from r), y as (select x.*, ts[j] as t, gs[j] as g, rs[j] as h, ids[j] as win from x join ls using (vod)),
+ tc as (select vod, range, t, count(*) as k, min(j) as first from y group by all), tm as (select vod, range, t from tc qualify row_number() over (partition by vod, range order by k desc, first) = 1)
+ select r.vod, r.range, ss[m[1]] as start, es[m[len(m)]] as "end", len(m) as n, tm.t as topic, (select case max(g) when 2 then 'high' when 0 then 'low' else 'medium' end from y where y.vod = r.vod and y.range = r.range) as energy,
+  (select min(win) from y where y.vod = r.vod and y.range = r.range and h > 0) as anchor from r join ls using (vod) join tm using (vod, range)"""
+
+
+@query("h21_flatten_enh", FLAT)
+def h21(spark, sf):
+    """Ranges that take up what is like any of their members, else what follows at once in their block."""
+    d = sem(spark, sf).withColumns({"keep": F.col("win") % 3 != 1, "block": F.when(F.col("win") % 5 != 0, F.concat(F.lit("B"), F.floor(F.col("win") / 6))), "id": F.col("win")})
+    return semantic.flatten(d, V, "keep", 8.0).select("vod", "range", "start", "end", "n", "topic", "energy", "anchor")
+
+
+ROLE = "case when win % 11 = 0 then 'resolution' when win % 7 = 0 then 'build_up' else role end"
+LEAST, MOST, LIKE, GRACE, AHEAD = 3600, 9000, 0.62, 1800, 1800
+
+
+def roled(spark, sf):
+    """Windows with endings and build-ups among their roles."""
+    return sem(spark, sf).withColumns({"role": F.when(F.col("win") % 11 == 0, "resolution").when(F.col("win") % 7 == 0, "build_up").otherwise(F.col("role")), "avg_z": F.col("z")})
+
+
+def like(i: str, j: str) -> str:
+    """SQL of the similarity of the rows i and j, i before j."""
+    return f"(0.7 * ({COS.format(a=f'vs[{i}]', b=f'vs[{j}]')} + 1) / 2 + 0.2 * exp(-greatest(0.0, ss[{j}] - es[{i}]) / 600.0) + 0.1 * (ts[{i}] = ts[{j}])::int)"
+
+
+CLUTCH = (THREAD + SEM.format(th="th")).strip().replace("with chat", "with recursive chat") + f""", ro as (select * replace ({ROLE} as role) from sem),
+ cl as (select vod, list(id order by win) as ids, list(v order by win) as vs, list(start order by win) as ss, list("end" order by win) as es, list(topic order by win) as ts, list(chapter order by win) as cs,
+  list(coalesce(role = 'peak' or (z >= 0.6 and energy = 'high'), false) order by win) as ps, list(role = 'resolution' order by win) as ends, list(role in ('build_up', 'conflict') order by win) as bs,
+  list(role in ('peak', 'conflict', 'resolution') order by win) as acts, count(*) as n from ro group by vod),
+ g(vod, ph, i, j, m, total, used, found) as (select vod, 'seed', 1::bigint, 0::bigint, cast([] as bigint[]), 0.0::double, list_transform(ids, lambda x: false), cast([] as bigint[][]) from cl union all
+  select vod, case when act = 'open' then 'left' when act = 'turn' then 'right' when act in ('take', 'drop', 'skip') then case when i >= n then 'done' else 'seed' end else ph end,
+   case when act in ('take', 'drop', 'skip') then i + 1 else i end,
+   case act when 'open' then i - 1 when 'turn' then i + 1 when 'left' then j - 1 when 'pass_left' then j - 1 when 'right' then j + 1 when 'pass_right' then j + 1 when 'bridge' then br + 1 else j end,
+   case act when 'open' then [i] when 'left' then list_prepend(j, m) when 'right' then list_append(m, j) when 'bridge' then list_concat(m, range(j, br + 1)) else m end,
+   case act when 'open' then es[i] - ss[i] when 'left' then total + es[j] - ss[j] when 'right' then total + es[j] - ss[j] when 'bridge' then total + list_sum(list_transform(range(j, br + 1), lambda q: es[q] - ss[q])) else total end,
+   case when act = 'take' then list_transform(used, lambda u, q: u or (ss[q] >= ss[m[1]] and es[q] <= es[m[len(m)]])) else used end, case when act = 'take' then list_append(found, m) else found end from (
+   select *, case when ph = 'seed' then case when used[i] or not ps[i] then 'skip' else 'open' end
+    when ph = 'left' then case when j < 1 or total >= {LEAST} then 'turn' when used[j] then 'pass_left' when bs[j] or {like('j', 'm[1]')} >= greatest(0.35, {LIKE} - 0.1) then 'left' else 'turn' end
+    when j <= n and (total < {MOST} or (total < {MOST} + {GRACE} and not ended)) then case when used[j] then 'pass_right'
+      when total < {MOST} then case when ends[j] or coalesce(acts[j - 1], false) or acts[j] or coalesce(acts[j + 1], false) or {like('m[len(m)]', 'j')} >= {LIKE} then 'right' else closing end
+      when ends[j] or (cs[j] = cs[m[1]] and {like('m[len(m)]', 'j')} >= {LIKE}) then 'right' when br is not null then 'bridge' else closing end
+    else closing end as act from (
+    select g.*, cl.* exclude (vod), len(list_filter(m, lambda q: ends[q])) > 0 as ended, case when total >= greatest(0.65 * {LEAST}, {LEAST} - 60) then 'take' else 'drop' end as closing,
+     list_min(list_filter(range(j, n + 1), lambda q: ends[q] and len(list_filter(range(j, q + 1), lambda p: cs[p] <> cs[m[1]] or es[p] - ss[m[len(m)]] > total + {GRACE} + 1 or ss[p] - es[m[len(m)]] > {AHEAD})) = 0)) as br
+    from g join cl using (vod) where ph <> 'done'))),
+ ca as (select g.vod, unnest(found) as m from g where ph = 'done')
+"""
+
+
+@query("j02_clutch_arcs", CLUTCH + """ select ca.vod, ss[m[1]] as start, es[m[len(m)]] as "end", len(m) as n, list_sum(list_transform(m, lambda q: es[q] - ss[q])) as total,
+ array_to_string(list_transform(m, lambda q: ids[q]), ',') as members from ca join cl using (vod)""")
+def j02(spark, sf):
+    d = fixpoint.clutch_arcs(roled(spark, sf), V, LEAST, MOST, LIKE, grace=GRACE, ahead=AHEAD)
+    return d.withColumn("members", F.array_join("members", ","))
+
+
+DETECT = CLUTCH + f""", ru as (select *, sum(a) over (partition by vod order by win) as tr, sum(b) over (partition by vod order by win) as cr from (
+   select *, case when thread is distinct from lag(thread) over w then 1 else 0 end as a, case when chapter is distinct from lag(chapter) over w then 1 else 0 end as b from ro window w as (partition by vod order by win))),
+ tg as (select vod, tr from ru group by all having sum("end" - start) between 0.8 * {LEAST} and 1.3 * {MOST}),
+ cg as (select vod, cr from ru group by all having sum("end" - start) between 0.7 * {LEAST} and 1.5 * {MOST} and bool_or(role = 'peak') and bool_or(role in ('resolution', 'conflict'))),
+ me as (select vod, 'c' || m[1] as arc, unnest(list_transform(m, lambda q: ids[q])) as id from ca join cl using (vod) union all
+  select vod, 't' || tr, id from ru semi join tg using (vod, tr) union all select vod, 'p' || cr, id from ru semi join cg using (vod, cr)),
+ mr as (select me.vod, me.arc, ro.* exclude (vod) from me join ro using (vod, id)),
+ g1 as (select *, greatest(0.0, lead(start) over w - "end") as gap, case when thread <> lag(thread) over w then 1 else 0 end as sw from mr window w as (partition by vod, arc order by start)),
+ g2 as (select vod, arc, min(start) as start, max("end") as "end", coalesce(max(gap), 0.0) as gap, sum("end" - start) as total, count(*) as n, least(0.4, sum(sw) / greatest(1, count(*) - 1)) as penalty,
+   coalesce(bool_or(role = 'peak' or (z >= 0.6 and energy = 'high')), false) as peak, coalesce(bool_or(role in ('resolution', 'conflict')), false) as closing, max(z) as max_z, bool_or(energy = 'high') as high from g1 group by all),
+ g3 as (select vod, arc, max(k) as top_thread from (select vod, arc, thread, count(*) as k from mr group by all) group by all), g4 as (select vod, arc, max(k) as top_chapter from (select vod, arc, chapter, count(*) as k from mr group by all) group by all),
+ pr as (select a.vod, a.arc, a.win as x, b.win as y, 0.7 * ({COS.format(a='a.v', b='b.v')} + 1) / 2 + 0.2 * exp(-greatest(0.0, b.start - a."end") / 600.0) + 0.1 * case when a.topic = b.topic then 1 else 0 end as s
+   from mr a join mr b on a.vod = b.vod and a.arc = b.arc and a.win < b.win),
+ bo as (select * from pr union all select vod, arc, y, x, s from pr),
+ md as (select vod, arc, x from (select vod, arc, x, round(avg(s), 9) as m from bo group by all) qualify row_number() over (partition by vod, arc order by m desc, x) = 1),
+ tp as (select vod, arc, avg(s) as top from (select bo.*, row_number() over (partition by vod, arc order by s desc) as r from bo join md using (vod, arc, x)) where r <= 5 group by all),
+ aj as (select vod, arc, avg(s) as adj from (select pr.*, row_number() over (partition by vod, arc, x order by y) as r from pr) where r = 1 group by all),
+ sc as (select g2.*, "end" - start as span, greatest(0.0, least(1.0, total / ("end" - start))) as cont, case when peak and closing then 1.0 when top_thread >= 0.7 * n then 0.7 when top_chapter >= 0.7 * n then 0.6 else 0.0 end as stru,
+   greatest(0.0, least(1.0, greatest(0.0, least(1.0, max_z)) + case when high then 0.1 else 0.0 end)) as sig, coalesce(greatest(0.0, least(1.0, 0.65 * top + 0.35 * adj)), 0.8) as coh
+   from g2 join g3 using (vod, arc) join g4 using (vod, arc) left join tp using (vod, arc) left join aj using (vod, arc)),
+ ok as (select distinct vod, start, "end", score from (select *, round(greatest(0.0, least(1.0, 0.6 * coh + 0.15 * cont + 0.15 * stru + 0.1 * sig - 0.25 * penalty)), 6) as score from sc)
+  where (score >= 0.7 or (stru >= 1.0 and cont >= 0.85 and score >= 0.6)) and cont >= 0.6 and gap <= 180 and (span - total) / span <= 0.4),
+ ol as (select vod, list({{'s': start, 'e': "end", 'score': score}} order by start, score desc) as l from ok group by vod),
+ nm as (select vod, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: case when len(list_filter(a, lambda k: k.s < x[1].e and x[1].s < k.e)) = 0 then list_concat(a, x) else a end) as kept from ol)
+ select vod, generate_subscripts(kept, 1) as pos, unnest(kept).s as start, unnest(kept).e as "end", unnest(kept).score as score from nm"""
+
+
+@query("j13_detect_arcs", DETECT)
+def j13(spark, sf):
+    """Clutch, thread and chapter arcs with their members, scored and gated, then those that overlap none before them."""
+    return detection.detect(roled(spark, sf), V, LEAST, MOST, LIKE, grace=GRACE, ahead=AHEAD)
