@@ -13,10 +13,12 @@ by the template of their path.  The tree is grown level by level from counts:
    from that of their siblings (two proportions, ``Z`` standard errors) are
    statistically similar and are merged into one wildcard branch.
 
-A template is rejected when its share of bad labels, smoothed towards its host's
-and the host's towards the whole table's, reaches ``PURITY``.  A page's label is
-the verdict of its rule; without a rule, bad if a part of its host (between dots
-and hyphens) is one of ``WORDS``; else the one given for it, if any.
+A template is rejected when its share of bad labels, smoothed towards its host's,
+reaches ``PURITY``.  A host's share is smoothed towards the mean share of the
+parts of its name (between dots and hyphens), each of which is learned from the
+labels of all hosts that have it and smoothed towards the whole table's; so what
+labels say of some hosts reaches others of like names.  A page's label is the
+verdict of its rule, else the one given for it, if any; no word is listed.
 
 The query gives pages the labels of the document that they show.  Its id is the
 number that ends the path: the headings of 2,486 of the 2,500 pages of ``sf0.1``,
@@ -37,9 +39,6 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 MIN_PAGES = 8
-#: What unwanted sites are commonly called.
-WORDS = ("ads", "adserver", "adult", "betting", "casino", "escort", "gambling", "hentai", "lottery", "malware", "phishing", "pills",
-         "poker", "porn", "slots", "spam", "viagra", "warez", "xxx")
 Z = 1.96
 SMOOTH = 10.0
 PURITY = 0.5
@@ -115,10 +114,13 @@ def templates(pages: DataFrame) -> DataFrame:
         level += 1
     leaf = tree.groupBy("host", "prefix").agg(*sums)
     by_host = leaf.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("bad").alias("host_bad"))
-    whole = by_host.agg(((F.sum("host_bad") + 1) / (F.sum("host_good") + F.sum("host_bad") + 2)).alias("p")).first()[0]
-    judged = leaf.join(by_host, "host").select(
-        "host", "prefix", _prior(F.col("good"), F.col("bad"), _prior(
-            F.col("host_good"), F.col("host_bad"), F.lit(0.5 if whole is None else whole))).alias("purity"))
+    seen = F.sum("host_good") + F.sum("host_bad")
+    whole = F.lit(by_host.agg(F.when(seen > 0, (F.sum("host_bad") + 1) / (seen + 2)).alias("p")).first()[0] or 0.0)  # without labels nothing is rejected
+    named = by_host.withColumn("part", F.explode(F.array_distinct(F.split("host", "[.-]"))))
+    parts = named.groupBy("part").agg(_prior(F.sum("host_good"), F.sum("host_bad"), whole).alias("share"))
+    told = named.join(parts, "part").groupBy("host").agg(F.avg("share").alias("named"))
+    judged = leaf.join(by_host, "host").join(told, "host").select(
+        "host", "prefix", _prior(F.col("good"), F.col("bad"), _prior(F.col("host_good"), F.col("host_bad"), F.col("named"))).alias("purity"))
     return tree.join(judged, ["host", "prefix"]).select(
         "host", "shape", F.concat(F.lit("/"), F.array_join("prefix", "/")).alias("template"), "purity")
 
@@ -128,14 +130,13 @@ def shown_document(url: Column) -> Column:
     return F.regexp_extract(host_and_path(url)[1], r"/([0-9]{1,18})(?:\.[A-Za-z]+)?/?$", 1).try_cast("long")
 
 
-def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, words: tuple[str, ...] = WORDS) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for every page; labels is (page_id, bad)."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     name, says = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "says": says, "shape": shapes(F.col("path"))})
-    named = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, words)).cast("array<string>"))
-    seen = rows.select("page_id", "host", "shape", F.coalesce(F.col("says") == "block", F.when(named, F.lit(True))).alias("bad"))
+    seen = rows.select("page_id", "host", "shape", (F.col("says") == "block").alias("bad"))
     if labels is not None:
         told = labels.where("page_id is not null").groupBy("page_id").agg(F.bool_or("bad").alias("told"))
         seen = seen.join(told, "page_id", "left").withColumn("bad", F.coalesce("bad", "told"))
