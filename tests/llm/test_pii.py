@@ -69,3 +69,44 @@ def test_mask(spark):
     assert got.columns == df.columns
     assert {r.doc_id: r.text for r in got.collect()} == {1: "é <EMAIL>, <CARD> end", 2: None, 3: "clean"} or \
         {r.doc_id: r.text for r in got.collect()}[1] in ("é <EMAIL>, <PHONE> end", "é <EMAIL>, +<CARD> end")
+
+
+def test_texts_dense_in_spans_are_linear(spark):
+    """A long list of addresses: its places and its masked text, in a time that grows with its length."""
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        parts = [f"user{i}@mail.example.org" for i in range(n)]
+        text = "\n".join(parts)
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        spans, masked = pii.find(df).first().spans, pii.mask(df).first().text
+        took.append(time.time() - began)
+        at, want = 0, []
+        for p in parts:
+            want.append((at, at + len(p)))
+            at += len(p) + 1
+        assert [(x.start, x.end) for x in spans] == want and masked == "\n".join(["<EMAIL>"] * n)
+    assert took[1] < 10 * took[0] + 10
+
+
+def test_mask_equals_brute_force(spark):
+    rnd = random.Random(8)
+    pieces = ["a@b.co", "4111 1111 1111 1111", "+49 30 123456", "1.2.3.4", "x", " ", "é🙂", ",", "DE89 3704 0044 0532 0130 00", "+4111 1111 1111 1111", "c@1.2.3.4"]
+    rows = [(i, "".join(rnd.choice(pieces) for _ in range(rnd.choice((3, 40, 400))))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans, got = {r.doc_id: r.spans for r in pii.find(df).collect()}, {r.doc_id: r.text for r in pii.mask(df).collect()}
+    for i, text in rows:
+        out, at = "", 0
+        for start, end, kind in sorted((x.start, x.end, x.kind) for x in spans[i]):
+            if start >= at:
+                out += text[at:start] + f"<{kind.upper()}>"
+            at = max(at, end)
+        assert got[i] == out + text[at:]
+
+
+def test_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([(1, "me@x.org", "mine", "too")], "doc_id long, text string, hits_email string, gaps_email string")
+    got = pii.with_spans(df).first()
+    assert (got.hits_email, got.gaps_email) == ("mine", "too") and [(x.start, x.end) for x in got.spans_email] == [(0, 8)]

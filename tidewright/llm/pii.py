@@ -17,14 +17,18 @@ independent, so repeated rows and null ids are scanned like others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import free_name
+
 LOCAL = "A-Za-z0-9._%+-"
 NEAR = 40
 THRESHOLD = 0.8
+RUN = 64
 BETWEEN = r"^(?:[^\p{L}]|(?<!\p{L})(?:and|or|und|oder|y|o|et|ou)(?!\p{L}))*+$"
 
 
@@ -83,31 +87,58 @@ KINDS = (
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def _located(kind: Kind) -> Column:
-    """Validated spans of one kind from the columns of its hits and the pieces between them."""
-    hits, gaps = F.col(f"hits_{kind.name}"), F.col(f"gaps_{kind.name}")
-    both = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    none = F.array().cast("array<struct<start:int,end:int,h:string,g:string>>")
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often it is used (a lambda's own expressions are computed per element)."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _blocks(rows: Column) -> Column:
+    """A bound array, not empty, as an array of arrays of ``RUN`` elements."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / RUN).cast("int")), lambda b: F.slice(rows, b * RUN + 1, RUN))
+
+
+def _scan(rows: Column, zero: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """``zero`` merged with the first element, the first two and so on, for an associative ``merge`` and an array that is not empty.
+
+    An array that grows by one element is copied each time, so totals are carried over blocks of ``RUN`` elements and only
+    a block grows: n elements cost n * RUN + (n / RUN)^2 copies of a reference, where one fold would cost n^2.
+    """
+    empty = F.filter(F.array(zero), lambda _: F.lit(False))
 
-    def told_by(gap: Column, beyond: Column, at: int) -> Column:
-        return F.when((F.length(gap) <= NEAR) & gap.rlike(BETWEEN), beyond).otherwise(F.substring(gap, at, NEAR))
+    def within(block: Column, carried: Column) -> Column:
+        return F.aggregate(block, F.struct(carried.alias("at"), empty.alias("out")), lambda acc, x: F.struct(
+            merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(merge(acc["at"], x))).alias("out")))["out"]
+
+    def over(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, merge))
+        carried = F.aggregate(totals, F.struct(zero.alias("at"), empty.alias("out")), lambda acc, t: F.struct(
+            merge(acc["at"], t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(blocks, carried, within))
+
+    return _let(rows, lambda r: _let(_blocks(r), over))
+
+
+def _located(kind: Kind, hits: Column, gaps: Column) -> Column:
+    """Validated spans of one kind from its hits and the pieces between them, in time linear in the text.
+
+    Each span ends where the lengths up to it add up.  The words before it are those of the last piece that is more
+    than a separator; the words after it those of the next such piece.
+    """
+    n = F.size(hits)
+    none = F.lit(None).cast("string")
 
-    def place(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["h"])
-        before = told_by(x["g"], acc["told"], -NEAR)
-        span = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("h"), before.alias("g"))
-        return F.struct(end.alias("at"), before.alias("told"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def told(gap: Column, at: int) -> Column:
+        return F.when((F.length(gap) <= NEAR) & gap.rlike(BETWEEN), none).otherwise(F.substring(gap, at, NEAR))
 
-    def follow(acc: Column, gap: Column) -> Column:
-        after = told_by(gap, acc["told"], 1)
-        return F.struct(after.alias("told"), F.concat(F.array(after), acc["out"]).alias("out"))
+    def fill(pieces: Column) -> Column:
+        return _scan(pieces, none, lambda a, b: F.coalesce(b, a))
 
-    told = F.lit("").alias("told")
-    placed = F.aggregate(both, F.struct(F.lit(0).alias("at"), told, none.alias("out")), place)["out"]
-    ends = F.aggregate(F.reverse(F.slice(gaps, 2, F.size(hits))), F.struct(told, F.array().cast("array<string>").alias("out")), follow)["out"]
-    placed = F.zip_with(placed, ends, lambda x, after: F.struct(
-        x["start"].alias("start"), x["end"].alias("end"), x["h"].alias("h"), F.concat_ws("\n", x["g"], after).alias("g")))
+    ends = _scan(F.zip_with(F.slice(gaps, 1, n), hits, lambda g, h: F.length(g) + F.length(h)), F.lit(0), lambda a, b: a + b)
+    before = fill(F.transform(F.slice(gaps, 1, n), lambda g: told(g, -NEAR)))
+    after = F.reverse(fill(F.transform(F.reverse(F.slice(gaps, 2, n)), lambda g: told(g, 1))))
+    words = F.zip_with(before, after, lambda b, a: F.concat_ws("\n", F.coalesce(b, F.lit("")), F.coalesce(a, F.lit(""))))
+    placed = F.zip_with(F.zip_with(ends, hits, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("h"))), words, lambda x, g: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), x["h"].alias("h"), g.alias("g")))
     near = f"(?i){kind.near}"
 
     def scored(x: Column) -> Column:
@@ -128,12 +159,12 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
     keep = docs.columns
+    hit, gap = ({k.name: free_name(f"{n}_{k.name}", docs) for k in KINDS} for n in ("hits", "gaps"))
     hits = docs.withColumns({
-        f"hits_{k.name}": F.when(k.trigger(whole), F.regexp_extract_all(whole, F.lit(k.pattern), F.lit(0))).otherwise(none)
-        for k in KINDS})
+        hit[k.name]: F.when(k.trigger(whole), F.regexp_extract_all(whole, F.lit(k.pattern), F.lit(0))).otherwise(none) for k in KINDS})
     gaps = hits.withColumns({
-        f"gaps_{k.name}": F.when(F.size(f"hits_{k.name}") > 0, F.split(whole, k.pattern, -1)).otherwise(none) for k in KINDS})
-    return gaps.select(*keep, *[_located(k).alias(f"spans_{k.name}") for k in KINDS])
+        gap[k.name]: F.when(F.size(hit[k.name]) > 0, F.split(whole, k.pattern, -1)).otherwise(none) for k in KINDS})
+    return gaps.select(*keep, *[_located(k, F.col(hit[k.name]), F.col(gap[k.name])).alias(f"spans_{k.name}") for k in KINDS])
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -166,16 +197,20 @@ def mask(docs: DataFrame) -> DataFrame:
     plain = docs.toDF(*[n if n == "text" else f"c{i}" for i, n in enumerate(names)])
     found = with_spans(plain)
     every = F.array_sort(F.transform(F.concat(*[f"spans_{k.name}" for k in KINDS]), lambda x: F.struct(x["start"], x["end"], x["kind"])))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def put(acc: Column, x: Column) -> Column:
-        fresh = F.concat(acc["out"], F.array(
-            F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"),
-                        F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    folded = found.withColumn("_spans", every).withColumn(
-        "_folded", F.when(F.size("_spans") > 0, F.aggregate("_spans", start, put)))
-    text = F.when(F.col("_folded").isNull(), F.col("text")).otherwise(
-        F.concat(F.array_join("_folded.out", ""), F.expr("substring(text, _folded.at + 1)")))
+    found = found.withColumn("_spans", every)
+    reach = _scan(F.transform("_spans", lambda x: x["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+    before = F.concat(F.array(F.lit(0)), reach)  # how far the spans before each one reach
+    kept = F.filter(F.zip_with("_spans", F.slice(before, 1, F.size("_spans")), lambda x, r: F.struct(
+        x["start"].alias("start"), x["kind"].alias("kind"), r.alias("from"))), lambda x: x["start"] >= x["from"])
+
+    def written(block: Column) -> Column:
+        # a place in a text is found from its beginning, so a run of spans first takes its own stretch of the text
+        lo = block[0]["from"]
+        part = F.substring(F.col("text"), lo + 1, F.element_at(block, -1)["start"] - lo)
+        return _let(part, lambda p: F.array_join(F.transform(block, lambda x: F.concat(
+            F.substring(p, x["from"] - lo + 1, x["start"] - x["from"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))), ""))
+
+    some = F.size("_spans") > 0
+    folded = found.withColumns({"_end": F.when(some, F.element_at(reach, -1)), "_folded": F.when(some, _let(kept, lambda k: F.array_join(F.transform(_blocks(k), written), "")))})
+    text = F.when(F.col("_folded").isNull(), F.col("text")).otherwise(F.concat("_folded", F.expr("substring(text, _end + 1)")))
     return folded.select(*[(text if n == "text" else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)])
