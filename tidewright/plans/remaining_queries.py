@@ -71,11 +71,6 @@ def h04(spark, sf):
     return grouping.extend_by_thread(d, d.where("reactions >= 5").select("vod", "win"), V, "win", "thread", "same_prev").select("vod", "lo", "hi").distinct()
 
 
-@query("h30_topic_thread_global", THREAD + "select vod, win, thread from th")
-def h30(spark, sf):
-    return threaded(spark, sf).select("vod", "win", "thread")
-
-
 @query("h32_manifest_sort", BASE + "select vod, row_number() over (partition by vod order by topic, start, event_id) as n, event_id from rng")
 def h32(spark, sf):
     n = F.row_number().over(Window.partitionBy("vod").orderBy("topic", "start", "event_id"))

@@ -70,3 +70,29 @@ def clear_pending(queue: DataFrame, who: DataFrame, key: str, reason: str = "Man
     go = F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("state") == "pending")
     d = queue.join(hit, key, "left")
     return d.withColumns({"reason": F.when(go, reason), "state": F.when(go, "failed").otherwise(F.col("state"))}).drop("_hit")
+
+
+#: Columns of a whole export, in order, and what the index calls those that it names otherwise.
+WHOLE = ("id", "start_time", "end_time", "duration", "chapter_id", "category", "mode", "excluded", "chat_rate", "chat_rate_z", "burst_score", "reaction_hits",
+         "summary", "topic", "energy", "role", "role_confidence", "same_topic_prev", "topic_thread", "topic_key", "link_type", "link_evidence", "confidence",
+         "section_id", "section_title")
+NAMES = {"start_time": "start", "end_time": "end", "chapter_id": "chapter", "chat_rate": "rate", "chat_rate_z": "z", "burst_score": "burst",
+         "reaction_hits": "reactions", "role_confidence": "confidence", "same_topic_prev": "same_prev", "topic_thread": "thread"}
+
+
+def whole(index: DataFrame, named: str, vod: str = "vod") -> DataFrame:
+    """(vod, place, the columns of :data:`WHOLE`): every row of an index in order of time; the category is the chapter's own name if that is not blank."""
+    own = {"duration": F.col("end") - F.col("start"), "category": F.coalesce(F.nullif(F.trim(named), F.lit("")), "category"),
+           "excluded": F.coalesce("excluded", F.lit(False))}
+    place = F.row_number().over(Window.partitionBy(vod).orderBy("start", "id")).cast("long")
+    return index.select(vod, place.alias("place"), *[own.get(c, F.col(NAMES.get(c, c))).alias(c) for c in WHOLE])
+
+
+def whole_statistics(rows: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
+    """As :func:`statistics` for a whole export, with how many rows are excluded, have a summary or a chat score, and the mean length."""
+    kinds = [F.struct(F.lit("all").alias("kind"), F.lit("").alias("name"))] + [
+        F.struct(F.lit(g).alias("kind"), F.coalesce(F.col(g).cast("string"), F.lit("unknown")).alias("name")) for g in groups]
+    d = rows.withColumn("x", F.explode(F.array(*kinds)))
+    return d.groupBy(*keys, "x.kind", "x.name").agg(
+        F.count("*").alias("n"), F.sum("duration").alias("seconds"), F.count_if("excluded").alias("excluded"), F.count("summary").alias("with_summary"),
+        F.count("chat_rate_z").alias("with_chat"), F.avg("duration").alias("mean_seconds"))
