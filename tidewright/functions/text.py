@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -239,14 +239,24 @@ def topic_sim(a: Column, b: Column) -> Column:
 
 
 def overlaps(queries: DataFrame, docs: DataFrame, qid: str, did: str, least: float) -> DataFrame:
-    """(qid, did, overlap) of queries and documents that share at least ``least`` of the query's distinct words; both have ``text``."""
-    def terms(d: DataFrame, key: str, c: str) -> DataFrame:
-        found = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
-        return d.select(key, F.size(found).alias("n"), F.explode(found).alias("w"))
-
-    told = terms(docs, did, "text").drop("n").join(terms(queries, qid, "text"), "w")
-    n = told.groupBy(qid, did).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    return n.where(F.col("shared") >= least * F.col("n")).select(qid, did, (F.col("shared") / F.col("n")).alias("overlap"))
+    """(qid, did, overlap) of queries and documents that share at least ``least`` (above 0) of the query's distinct words; both have ``text``.
+
+    A document that shares k of a query's n words has one of any n - k + 1 of them, so only that many, the rarest by the
+    number of documents that hold them, look for candidates; frequent words join nothing.  Candidates are then compared whole.
+    """
+    def words(c: str) -> Column:
+        return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
+
+    asked = queries.select(qid, words("text").alias("q")).where(F.size("q") > 0)
+    one = asked.select(qid, F.size("q").alias("n"), F.explode("q").alias("w"))
+    told = docs.select(did, F.explode(words("text")).alias("w"))
+    held = told.join(one.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("held"))
+    rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.coalesce("held", F.lit(0)), "w"))
+    rare = one.join(held, "w", "left").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
+    pairs = told.join(rare.select(qid, "w"), "w").select(qid, did).distinct()
+    both = docs.select(did, words("text").alias("d")).join(pairs, did).join(asked, qid)
+    shared = both.select(qid, did, F.size("q").alias("n"), F.size(F.array_intersect("q", "d")).alias("shared"))
+    return shared.where(F.col("shared") >= least * F.col("n")).select(qid, did, (F.col("shared") / F.col("n")).alias("overlap"))
 
 
 def text_overlap(query: Column, doc: Column) -> Column:
