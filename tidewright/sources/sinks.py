@@ -45,8 +45,3 @@ def chat_subset(chat: DataFrame, start: float, end: float, head: float = 0.0) ->
 
 def write_by_chapter(df: DataFrame, path: str, chapter: str = "chapter") -> None:
     df.write.mode("overwrite").partitionBy(chapter).json(path)
-
-
-def write_ranked_csv(df: DataFrame, path: str, score: str, tie: str) -> None:
-    ranked = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))
-    ranked.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
