@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 from test_simhash import brute_fp
 
@@ -67,3 +68,29 @@ def test_pipeline_stage_takes_them(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
     kept = corpus_pipeline.near_dedup(spark, spark.read.parquet(str(tmp_path / "docs")), "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_part_sizes_never_lose_a_similar_pair():
+    rng = np.random.default_rng(7)
+    dropped = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.3, 0.8, 0.9, 1.0])], rng.integers(0, 1 << 63, int(rng.integers(0, 60)), dtype=np.uint64) * np.uint64(2)]))
+        may = near.may_be_similar(near.part_sizes(a), near.part_sizes(b))
+        assert may or not near.similar(a, b)
+        dropped += not may
+    assert dropped > 50 and near.part_sizes(np.zeros(0, np.uint64)) is None
+    assert near.part_sizes(np.arange(300, dtype=np.uint64)) is None  # 300 in one part: nothing is said, the pair is kept
+    assert near.may_be_similar(None, b"x")
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_broadcast_or_not_gives_the_same_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(near, "FEW", few)
+    rnd = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(rnd.choice(words, 60)) for _ in range(12)]
+    rows = [(i * 10 + j, base[i] + f" tail{j}" * (j % 3)) for i in range(12) for j in range(4)]
+    got = {r.doc_id: r.component_id for r in near.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d // 10 * 10 for d, _ in rows}

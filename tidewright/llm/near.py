@@ -19,7 +19,11 @@ this is enough for 0.8, so other pairs are dropped unseen.  In particular the
 smaller set of a pair has the key among its first n - ceil(8/9 n) + 1.
 
 All candidates are verified on the whole shingle sets (64-bit hashes of the
-shingles).  Texts of equal fingerprint and equal set are folded first, and pairs
+shingles).  Before the sets travel, their sizes in ``PARTS`` parts of the hashes'
+range do: two sets share at most the sum of the smaller sizes, so pairs that
+cannot reach 0.8 go without their sets having met.  Numbers of rows are broadcast
+where at most ``FEW`` of them were counted (8 bytes each), so that texts stay in
+place; beyond that, texts are shuffled to them.  Texts of equal fingerprint and equal set are folded first, and pairs
 that links of earlier turns connect are not compared again.  A key of more than
 ``PAIRS`` texts is compared in stars (up to ``STARS`` turns with other centres, as
 long as they find links); the pairs that are still unconnected then are compared
@@ -48,6 +52,8 @@ SHARE = 1 << 17
 OFTEN, HELD = 4, 1 << 21
 PAIRS = 16
 STARS = 3
+PARTS = 256
+FEW = 1 << 20
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, WIDTH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -149,25 +155,56 @@ def _profiles(docs: DataFrame, row: str) -> DataFrame:
     return src.mapInArrow(run, "row long, doc_id long, fp long, set long, n int, keys array<long>")
 
 
+def part_sizes(hashes: np.ndarray) -> bytes | None:
+    """How many hashes fall in each part of their range, a byte each; None if one holds more than that (then nothing is said)."""
+    n = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=PARTS)
+    return n.astype(np.uint8).tobytes() if len(hashes) and n.max() < 256 else None
+
+
+def may_be_similar(a: bytes | None, b: bytes | None, least: float = SIMILARITY) -> bool:
+    """Whether sets of these part sizes can be similar: false only where they cannot."""
+    if a is None or b is None:
+        return True
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    shared = int(np.minimum(x, y).sum())
+    return shared >= least * (int(x.sum()) + int(y.sum()) - shared)
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A written table of single numbers, to be broadcast if it has at most ``FEW`` rows."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
 def _verified(docs: DataFrame, row: str, pairs: DataFrame) -> DataFrame:
     """(u, v) of the pairs (a, b, u, v) of rows and their fingerprints whose shingle sets are similar."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [shingles(t.as_py()).tobytes() for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["row", "hashes"])
+            every = [shingles(t.as_py()) for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(part_sizes, every), pa.binary()), pa.array([h.tobytes() for h in every], pa.binary())],
+                                             ["row", "parts", "hashes"])
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [may_be_similar(x.as_py(), y.as_py()) for x, y in zip(b.column(4), b.column(5))]
+            yield b.select([0, 1, 2, 3]).filter(pa.array(near, pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
             yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    need = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    need = cut(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
     text = docs.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
-    have = cut(text.join(need, "row", "left_semi").mapInArrow(sets, "row long, hashes binary"))
-    first, second = (have.select(F.col("row").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
-    both = pairs.join(first, "a").join(second, "b").select("u", "v", "of_a", "of_b")
-    out = cut(both.mapInArrow(check, "u long, v long").distinct())
-    release(have)
+    have = cut(text.join(_few(need), "row", "left_semi").mapInArrow(sets, "row long, parts binary, hashes binary"))
+
+    def of(pairs: DataFrame, what: str) -> DataFrame:
+        first, second = (have.select(F.col("row").alias(c), F.col(what).alias(f"of_{c}")) for c in "ab")
+        return pairs.join(first, "a").join(second, "b")
+
+    left = cut(of(pairs, "parts").select("a", "b", "u", "v", "of_a", "of_b").mapInArrow(may, "a long, b long, u long, v long"))
+    out = cut(of(left, "hashes").select("u", "v", "of_a", "of_b").mapInArrow(check, "u long, v long").distinct())
+    for table in (need, have, left):
+        release(table)
     return out
 
 
@@ -204,9 +241,10 @@ def _roots(docs: DataFrame, row: str, rows: DataFrame) -> DataFrame:
     roots = fps.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
     classes = rows.where("n > 0").groupBy("fp", "set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     keys = cut(classes.select(F.posexplode("keys").alias("pos", "key"), "row", "fp", "n"))
-    shared = keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
-    hits = cut(keys.join(shared, "key", "left_semi"))
+    shared = cut(keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key"))
+    hits = cut(keys.join(_few(shared), "key", "left_semi"))
     release(keys)
+    release(shared)
     turn = 0
     while turn <= STARS:
         pairs = _candidates(hits, roots, turn)
