@@ -197,13 +197,15 @@ def _verified(docs: DataFrame, row: str, pairs: DataFrame) -> DataFrame:
     text = docs.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
     have = cut(text.join(_few(need), "row", "left_semi").mapInArrow(sets, "row long, parts binary, hashes binary"))
 
-    def of(pairs: DataFrame, what: str) -> DataFrame:
-        first, second = (have.select(F.col("row").alias(c), F.col(what).alias(f"of_{c}")) for c in "ab")
+    def of(pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
+        first, second = (table.select(F.col("row").alias(c), F.col(what).alias(f"of_{c}")) for c in "ab")
         return pairs.join(first, "a").join(second, "b")
 
-    left = cut(of(pairs, "parts").select("a", "b", "u", "v", "of_a", "of_b").mapInArrow(may, "a long, b long, u long, v long"))
-    out = cut(of(left, "hashes").select("u", "v", "of_a", "of_b").mapInArrow(check, "u long, v long").distinct())
-    for table in (need, have, left):
+    left = cut(of(pairs, have, "parts").select("a", "b", "u", "v", "of_a", "of_b").mapInArrow(may, "a long, b long, u long, v long"))
+    still = cut(left.select(F.col("a").alias("row")).union(left.select("b")).distinct())
+    sent = have.join(_few(still), "row", "left_semi")
+    out = cut(of(left, sent, "hashes").select("u", "v", "of_a", "of_b").mapInArrow(check, "u long, v long").distinct())
+    for table in (need, have, left, still):
         release(table)
     return out
 
