@@ -96,3 +96,16 @@ def test_moments(spark):
         ("v:mom:high_point:10065", 10065.0, 10095.0, "up", "3"), ("v:mom:round_end:10090", 10090.5, 10120.5, "Round 2. over", "3"),
         ("v:mom:gameplay_event:9000", 9000.0, 9060.0, "shot", "3"), ("v:mom:gameplay_segment:10005", 10005.0, 10006.5, 'menu. ["a","b"]', "3"),
         ("v:mom:personal:0", 0.0, 30.0, "t", "0")], key=str)
+
+
+def test_store_of_many_items_has_few_files_and_an_index_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(arc_files, "PER_FILE", 100)
+    arcs = spark.range(1000).select(F.lit("a b").alias("vod"), F.col("id").cast("double").alias("start"), (F.col("id") + 5).cast("double").alias("end"), F.lit("x").alias("arc_type"),
+                                    F.lit(None).cast("string").alias("chapter"), F.lit(0.5).alias("confidence"), F.lit(1.0).alias("rating"), F.lit("tab\tline\n").alias("summary"))
+    path = store.folder(spark, "t")
+    arc_files.write_told(arcs, ["start"], path)
+    assert spark.read.text(f"{path}/items", recursiveFileLookup=True).select("_metadata.file_path").distinct().count() <= 10
+    index = arc_files.read_index(spark, path, "num_arcs long, total_duration double, arcs array<struct<arc_index:long,summary:string,manifest:string>>").collect()
+    assert len(index) == 10 and {(r.parsed.num_arcs, r.parsed.total_duration, len(r.parsed.arcs)) for r in index} == {(1000, 5000.0, 100)}
+    told = {a.arc_index: (a.manifest, a.summary, line.split(":")[0]) for r in index for a, line in zip(r.parsed.arcs, r.lines)}
+    assert told == {i: (f"vod=a%20b/item=arc_{i:03d}", "tab\tline\n", f"Arc {i:3d}") for i in range(1000)}

@@ -84,8 +84,8 @@ def a26(spark, sf):
     path = store.folder(spark, "arcs")
     arc_files.write_arcs(d, "arc", "event_id", path)
     index = arc_files.read_index(spark, path, f"num_arcs long, arcs array<struct<{arc_files.SPAN.replace(' ', ':').replace(',:', ',')},manifest:string>>")
-    one = index.select("vod", "parsed.num_arcs", "lines", F.explode("parsed.arcs").alias("a"))
-    line = F.regexp_extract(F.get("lines", F.col("a.arc_index") - 1), r"^(.*?)  \(span=", 1)
+    one = index.select("vod", "parsed.num_arcs", "lines", F.posexplode("parsed.arcs").alias("at", "a"))
+    line = F.regexp_extract(F.get("lines", "at"), r"^(.*?)  \(span=", 1)
     return one.select("vod", *[f"a.{n}" for n in ("arc_index", "total_ranges", "total_duration_seconds", "start_hms", "end_hms", "span_seconds", "contiguity_ratio", "max_internal_gap", "gap_fraction", "manifest")],
                       "num_arcs", line.alias("line"))
 
@@ -106,9 +106,9 @@ def a27(spark, sf):
     path = store.folder(spark, "told")
     arc_files.write_told(arcs, ["start", "event_id"], path)
     index = arc_files.read_index(spark, path, f"total_duration double, arcs array<struct<{arc_files.TOLD.replace(' ', ':').replace(',:', ',')},manifest:string>>")
-    one = index.select("vod", "parsed.total_duration", "lines", F.explode("parsed.arcs").alias("a"))
+    one = index.select("vod", "parsed.total_duration", "lines", F.posexplode("parsed.arcs").alias("at", "a"))
     return one.select("vod", *[f"a.{n}" for n in ("arc_index", "start", "end", "duration", "duration_display", "arc_type", "confidence", "summary", "manifest")], "total_duration",
-                      F.get("lines", F.col("a.arc_index")).alias("line"))
+                      F.get("lines", "at").alias("line"))
 
 
 @query("s24_raw_arcs", BASE + """, c as (select vod, sec // 21600 as chunk_index, count(*) as n from chat group by all), a as (select *, start::bigint // 21600 as chunk_index from rng),
