@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,24 +53,41 @@ def dynamic_padding(start: Column, end: Column, times: Column, smooth: Column, s
     ``times`` and ``smooth`` are parallel arrays of the chapter; at most 90 s to
     the left (10 to 120 s in all), 45 s to the right, 30 to 180 s long.
     """
-    def nearest(t: Column) -> Column:
-        return F.array_min(F.transform(times, lambda x, i: F.struct(F.abs(x - t).alias("d"), i.alias("i"))))["i"]
-
-    def value(t: Column) -> Column:
-        return F.get(smooth, nearest(t))
-
-    lo, hi = nearest(start), nearest(end)
-    peak = F.array_max(F.slice(smooth, lo + 1, F.greatest(F.lit(1), hi + 10 - lo)))
-
-    def walk(first: Column, reach: float, sign: int, share: float) -> Column:
-        steps = F.sequence(F.lit(0), F.lit(int(reach / step) - (sign < 0) * 0 - 1))
-        quiet = F.filter(steps, lambda k: value(first + sign * step * k) <= share * peak)
-        return first + sign * step * F.coalesce(F.array_min(quiet), F.lit(int(reach / step)))
-
-    s = F.greatest(start - 120.0, F.least(start - 10.0, walk(start, 90.0, -1, 0.45)))
-    e = F.least(walk(end, 45.0, 1, 0.35), end + 45.0)
-    moved = F.struct(s.alias("s"), intervals.clamp_window(s, e).alias("e"))
-    return F.when((F.size(times) == 0) | (peak <= 0) | peak.isNull(), F.struct(start.alias("s"), end.alias("e"))).otherwise(moved)
+    left, right = 90.0, 45.0
+
+    def once(c: Column, f: Callable[[Column], Column]) -> Column:
+        """``f`` of a value that is computed a single time, however often ``f`` names it."""
+        return F.get(F.transform(F.array(c), f), F.lit(0))
+
+    def nearest(near: Column, t: Column) -> Column:
+        return F.array_min(F.transform(near, lambda w: F.struct(F.abs(w["t"] - t).alias("d"), w["i"].alias("i"))))["i"]
+
+    def walk(near: Column, first: Column, reach: float, sign: int, most: Column) -> Column:
+        n = int(reach / step)
+        at = lambda k: first + sign * step * k
+        quiet = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(smooth, nearest(near, at(k))) <= most)
+        # what is nearest to the first step and to the last is so to all between
+        k = once(F.struct(nearest(near, at(0)).alias("a"), nearest(near, at(n - 1)).alias("b")), lambda e: F.when(
+            e["a"] == e["b"], F.when(F.get(smooth, e["a"]) <= most, 0).otherwise(n)).otherwise(F.coalesce(F.array_min(quiet), F.lit(n))))
+        return at(k)
+
+    def moved(near: Column, peak: Column) -> Column:
+        s = F.greatest(start - 120.0, F.least(start - 10.0, walk(near, start, left, -1, 0.45 * peak)))
+        e = F.least(walk(near, end, right, 1, 0.35 * peak), end + right)
+        out = once(F.struct(s.alias("s"), e.alias("e")), lambda m: F.struct(m["s"].alias("s"), intervals.clamp_window(m["s"], m["e"]).alias("e")))
+        return F.when((F.size(times) == 0) | (peak <= 0) | peak.isNull(), F.struct(start.alias("s"), end.alias("e"))).otherwise(out)
+
+    def peak(near: Column) -> Column:
+        return once(F.struct(nearest(near, start).alias("lo"), nearest(near, end).alias("hi")),
+                    lambda at: F.array_max(F.slice(smooth, at["lo"] + 1, F.greatest(F.lit(1), at["hi"] + 10 - at["lo"]))))
+
+    # of all times only those within reach, and the next on either side, can be nearest to a step
+    low, high = F.least(start - left, end), F.greatest(end + right, start)
+    edges = once(F.struct(low.alias("lo"), high.alias("hi")), lambda b: F.struct(
+        F.array_max(F.filter(times, lambda x: x <= b["lo"])).alias("lo"), F.array_min(F.filter(times, lambda x: x >= b["hi"])).alias("hi")))
+    every = F.transform(times, lambda x, i: F.struct(x.alias("t"), i.alias("i")))
+    reached = once(edges, lambda b: F.filter(every, lambda w: (b["lo"].isNull() | (w["t"] >= b["lo"])) & (b["hi"].isNull() | (w["t"] <= b["hi"]))))
+    return once(reached, lambda near: once(peak(near), lambda top: moved(near, top)))
 
 
 def candidates(groups: DataFrame, windows: DataFrame, keys: list[str], cfg: ClipConfig = ClipConfig(), bucket: float = 3600.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import arcs, clips, fixpoint, grouping, intervals, select, series, vectors
 from ..registry import query
-from .base import BASE, chat, r6, ranges, scored, table, windows
+from .base import BASE, chat, r6, ranges, scored, spread, table, windows
 from .segment_queries import TURNS, chapters, turns
 from .selection_queries import CLUSTER, clusters, kept, resolutions, threaded
 from .semantic_queries import j13
@@ -37,8 +37,10 @@ def k17(spark, sf):
 def f06(spark, sf):
     s = scored(spark, sf).withColumn("smooth", series.positive_smooth("z", VC, "win"))
     a = s.groupBy("vod").agg(F.array_sort(F.collect_list(F.struct("start", "smooth"))).alias("a"))
-    d = ranges(spark, sf).join(a, "vod")
-    x = clips.dynamic_padding(F.col("start"), F.col("end"), F.transform("a", lambda r: r["start"]), F.transform("a", lambda r: r["smooth"]))
+    # the arrays are columns of the smaller side: as expressions of each range they would be made anew in every step
+    a = a.select("vod", F.transform("a", lambda r: r["start"]).alias("times"), F.transform("a", lambda r: r["smooth"]).alias("values"))
+    d = spread(ranges(spark, sf).select("vod", "event_id", "start", "end")).join(a, "vod")
+    x = clips.dynamic_padding(F.col("start"), F.col("end"), F.col("times"), F.col("values"))
     return d.select("event_id", x.alias("x")).select("event_id", F.col("x.s").alias("start"), F.col("x.e").alias("end"))
 
 
