@@ -66,7 +66,9 @@ def ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Six places as the SQL rounds doubles: the millionfold to a whole number.  Spark's own rounding of the decimal text differs where that is a half."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c * 1e6) / 1e6
 
 
 BASE = f"""
