@@ -153,6 +153,8 @@ def l20(spark, sf):
     ended = F.when(e % 17 == 0, item).when(e % 3 == 1, F.concat(F.substring(item, 1, F.length(item) - 1), numbers)).when(
         e % 3 == 2, F.concat(F.substring(item, 1, F.length(item) - 1), words)).otherwise(item)
     lists = [F.concat(F.lit(f'"{name}":['), F.array_join(F.collect_list(F.when(F.col("k") == i, ended)), ","), F.lit("]")) for i, (name, _, _) in enumerate(KINDS)]
-    chunk = c.groupBy("vod", "c").agg(F.concat(F.lit('{"chunk_index":'), F.first("c"), F.lit(',"start_time":'), F.first("c") * 21600, F.lit(","), F.concat_ws(",", *lists), F.lit("}")).alias("chunk"))
-    whole = chunk.groupBy("vod").agg(F.concat(F.lit('{"chunks":['), F.array_join(F.collect_list("chunk"), ","), F.lit("]}")).alias("value"))
-    return moments.documents(whole, V)
+    # one text for at most a thousand messages of a chunk: a session's analysis may come in any number of texts
+    chunk = c.groupBy("vod", "c", F.floor(e / 1000)).agg(F.concat(F.lit('{"chunk_index":'), F.first("c"), F.lit(',"start_time":'), F.first("c") * 21600, F.lit(","), F.concat_ws(",", *lists), F.lit("}")).alias("chunk"))
+    whole = chunk.select("vod", F.concat(F.lit('{"chunks":['), F.col("chunk"), F.lit("]}")).alias("value"))
+    # texts are small and long to read: they go over all cores, where their bytes alone would give them one task
+    return moments.documents(whole.repartition(4 * spark.sparkContext.defaultParallelism), V)
