@@ -30,13 +30,13 @@ def reaction_hits(c: Column, names=tuple(V.REACTIONS)) -> Column:
 
     A pattern is only tried on texts that hold its literal part in any case.
     """
-    low = F.lower(c)
+    def count(x: Column, n: str) -> Column:
+        return F.when(x["low"].contains(V.REACTION_PARTS.get(n, n.split(" ")[0])), F.regexp_count(x["text"], F.lit(V.reaction_pattern(n)))).otherwise(0)
 
-    def count(n: str) -> Column:
-        return F.when(low.contains(V.REACTION_PARTS.get(n, n.split(" ")[0])), F.regexp_count(c, F.lit(V.reaction_pattern(n)))).otherwise(0)
-
-    found = F.filter(F.array(*[F.struct(F.lit(n).alias("k"), count(n).alias("v")) for n in names]), lambda x: x["v"] > 0)
-    return F.map_from_entries(found)
+    # an array of one, so that the text is put in lower case once and not for each token
+    one = F.array(F.struct(c.alias("text"), F.lower(c).alias("low")))
+    every = F.get(F.transform(one, lambda x: F.array(*[F.struct(F.lit(n).alias("k"), count(x, n).alias("v")) for n in names])), F.lit(0))
+    return F.map_from_entries(F.filter(every, lambda x: x["v"] > 0))
 
 
 def parse_reaction_hits(c: Column) -> Column:
