@@ -217,20 +217,22 @@ def reason_score(reasons: Column) -> Column:
 
 def jaccard_tokens(a: Column, b: Column) -> Column:
     """Jaccard similarity of stemmed word sets; both empty 1, one empty 0."""
-    def stem(t: Column) -> Column:
-        # the first listed suffix that the word ends with goes, from words of five or more letters
-        out = t
-        for s in reversed(V.SUFFIXES):
-            out = F.when((F.length(t) > 4) & t.endswith(s), t.substr(F.lit(1), F.length(t) - len(s))).otherwise(out)
-        return out
+    # of words of five or more letters the first listed suffix goes that they end with; functions of whole arrays and texts, no word by word
+    suffix = "|".join(rf"([a-z0-9]{{{max(1, 5 - len(e))},}}){e}" for e in V.SUFFIXES)
+    stems = "".join(f"${i + 1}" for i in range(len(V.SUFFIXES)))
 
     def tokens(c: Column) -> Column:
         words = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+")
-        return F.array_distinct(F.transform(F.filter(words, lambda w: (w != "") & ~w.isin(*V.STOP_WORDS)), stem))
+        kept = F.array_join(F.array_except(words, F.array(*map(F.lit, ("", *V.STOP_WORDS)))), " ")
+        return F.array_except(F.split(F.regexp_replace(kept, rf"\b(?:{suffix})\b", stems), " "), F.array(F.lit("")))
 
-    x, y = tokens(a), tokens(b)
-    return (F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0)
-            .otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))))
+    def similarity(x: Column, y: Column) -> Column:
+        return (F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0)
+                .otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))))
+
+    # an array of one, so that each text is taken apart once and not for each mention of its words
+    one = F.array(F.struct(tokens(a).alias("x"), tokens(b).alias("y")))
+    return F.get(F.transform(one, lambda p: similarity(p["x"], p["y"])), F.lit(0))
 
 
 def topic_sim(a: Column, b: Column) -> Column:

@@ -224,7 +224,7 @@ TOKENS = "list_distinct(list_transform(list_filter(string_split_regex(regexp_rep
 @query("i19_jaccard_tokens", "select doc_id, round(case when len(x) = 0 then 0.0 else len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) end::double, 6) as sim from (select doc_id, "
        + TOKENS.format(c="text") + " as x, " + TOKENS.format(c="'the boss fights and the others'") + " as y from documents)")
 def i19(spark, sf):
-    return docs(spark, sf).select("doc_id", r6(text.jaccard_tokens(F.col("text"), F.lit("the boss fights and the others"))).alias("sim"))
+    return spread(docs(spark, sf).select("doc_id", "text")).select("doc_id", r6(text.jaccard_tokens(F.col("text"), F.lit("the boss fights and the others"))).alias("sim"))
 
 
 @query("i21_time_iou", BASE + """select a.event_id, round(case when least(a."end", b."end") > greatest(a.start, b.start) then (least(a."end", b."end") - greatest(a.start, b.start)) /
