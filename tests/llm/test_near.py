@@ -94,3 +94,33 @@ def test_broadcast_or_not_gives_the_same_groups(spark, monkeypatch, few):
     rows = [(i * 10 + j, base[i] + f" tail{j}" * (j % 3)) for i in range(12) for j in range(4)]
     got = {r.doc_id: r.component_id for r in near.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d // 10 * 10 for d, _ in rows}
+
+
+def test_a_passage_met_twice_a_task_is_no_key_of_many_texts(spark, monkeypatch):
+    """Six passages in a hundred texts each, so that a chunk of twelve texts meets each of them twice."""
+    rng = np.random.default_rng(5)
+    passages = [" ".join(f"p{k}x{j}" for j in range(20)) for k in range(6)]
+    rows = [(i, i, " ".join(f"u{x}" for x in rng.integers(0, 1 << 40, 60)) + " " + passages[i % 6]) for i in range(600)]
+    monkeypatch.setattr(near, "HELD", 11 * 76)
+    docs = spark.createDataFrame(rows, "row long, doc_id long, text string").coalesce(1)
+    held = near._profiles(docs, "row").selectExpr("explode(keys) as key").groupBy("key").count()
+    assert held.agg({"count": "max"}).first()[0] <= near.PAIRS
+
+
+def test_large_keys_by_size_lose_no_pair(spark, monkeypatch):
+    """Every shared key is large and only one star is tried, so the pairs left meet by key and size; sizes on either side of 0.8."""
+    monkeypatch.setattr(near, "PAIRS", 1)
+    monkeypatch.setattr(near, "STARS", 1)
+    rng = np.random.default_rng(11)
+    rows = []
+    for family in range(3):
+        words = [f"f{family}w{i}" for i in range(400)]
+        for i in range(30):
+            n = int(rng.integers(20, 400)) if i % 2 else int(100 * 1.25 ** (i // 2 % 6))
+            text = words[:n]
+            if i % 3 == 0:
+                text[int(rng.integers(0, n))] = f"e{i}"
+            rows.append((100 * family + i, " ".join(text)))
+    want = brute_groups(rows)
+    assert len(set(want.values())) > 6
+    assert {r.doc_id: r.component_id for r in near.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want

@@ -11,7 +11,9 @@ last; of a set of n shingles only the first n - ceil(0.8 n) + 1 are keys, and tw
 sets of similarity 0.8 always share one of these, so no pair is missed.  A passage
 that many texts share is last in all of them and makes no candidates.  The order
 is right whatever it holds to be frequent; it takes shingles that one task meets
-often (``OFTEN``) and that make up at least one in ``SHARE`` of these.
+again (``OFTEN``) and that make up at least one in ``SHARE`` of these.  Both are as
+fine as the driver's memory allows: a passage at a rate that the order does not know
+is a key of ever more texts as the corpus grows, and its pairs grow with their square.
 
 A shared key at places i and j leaves at most min(n - i, m - j) shingles that both
 sets can still share from there on; for the first key that a similar pair shares
@@ -28,7 +30,8 @@ that links of earlier turns connect are not compared again.  A key of more than
 ``PAIRS`` texts is compared in stars (up to ``STARS`` turns with other centres, as
 long as they find links); the pairs that are still unconnected then are compared
 one by one, so no link is lost, and the work is linear where a key's texts are
-near copies.
+near copies.  There texts meet by the size of their sets too, since similar ones
+differ by at most a quarter.
 
 Nulls, empty and blank texts have no shingles; their fingerprint links them.
 """
@@ -40,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, cut, forget, free_name, numbered, release
@@ -48,8 +51,8 @@ from .simhash import _components, _signed, fingerprint, kept_rows, links
 
 WIDTH = 5
 SIMILARITY = 0.8
-SHARE = 1 << 17
-OFTEN, HELD = 4, 1 << 21
+SHARE = 1 << 20
+OFTEN, HELD = 2, 1 << 21
 PAIRS = 16
 STARS = 3
 PARTS = 256
@@ -210,6 +213,11 @@ def _verified(docs: DataFrame, row: str, pairs: DataFrame) -> DataFrame:
     return out
 
 
+def _size(n: str) -> Column:
+    """The size class of a set: the larger set of a similar pair is in the class of the smaller one or in the next."""
+    return F.floor(F.log(1 / SIMILARITY + 1e-9, F.col(n)))
+
+
 def _candidates(hits: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b, u, v) of one turn: small keys whole in the first, stars of large ones, and after the stars what is left of them."""
     named = cut(hits.join(roots, hits.fp == roots.node, "left").select("key", "row", "fp", "n", "pos", F.coalesce("root", "fp").alias("root")))
@@ -227,7 +235,12 @@ def _candidates(hits: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     if turn in (0, STARS):
         members = mine.join(whole.select("key"), "key", "left_semi")
         smaller = members.where((1 + SIMILARITY) * (F.col("y.n") - F.col("y.pos")) >= 2 * SIMILARITY * F.col("y.n") - 1e-6)
-        parts.append(smaller.withColumnRenamed("y", "x").join(members, "key").where(F.struct("x.n", "x.row") < F.struct("y.n", "y.row")))
+        smaller, on = smaller.withColumnRenamed("y", "x"), ["key"]
+        if turn:
+            on = ["key", "size"]
+            smaller = smaller.withColumn("size", F.explode(F.array(_size("x.n"), _size("x.n") + 1)))
+            members = members.withColumn("size", _size("y.n"))
+        parts.append(smaller.join(members, on).select("key", "x", "y").where(F.struct("x.n", "x.row") < F.struct("y.n", "y.row")))
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     near = (1 + SIMILARITY) * left >= SIMILARITY * (F.col("x.n") + F.col("y.n")) - 1e-6
