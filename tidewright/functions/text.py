@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
 from . import vocabulary as V
 
 
@@ -244,20 +245,26 @@ def overlaps(queries: DataFrame, docs: DataFrame, qid: str, did: str, least: flo
     """(qid, did, overlap) of queries and documents that share at least ``least`` (above 0) of the query's distinct words; both have ``text``.
 
     A document that shares k of a query's n words has one of any n - k + 1 of them, so only that many, the rarest by the
-    number of documents that hold them, look for candidates; frequent words join nothing.  Candidates are then compared whole.
+    number of documents that hold them, look for candidates; frequent words join nothing.  A text is taken apart once:
+    what stays of it are the numbers of the words that queries have, which then are compared whole.
     """
     def words(c: str) -> Column:
-        return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
-
-    asked = queries.select(qid, words("text").alias("q")).where(F.size("q") > 0)
-    one = asked.select(qid, F.size("q").alias("n"), F.explode("q").alias("w"))
-    told = docs.select(did, F.explode(words("text")).alias("w"))
-    held = told.join(one.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("held"))
-    rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.coalesce("held", F.lit(0)), "w"))
-    rare = one.join(held, "w", "left").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
-    pairs = told.join(rare.select(qid, "w"), "w").select(qid, did).distinct()
-    both = docs.select(did, words("text").alias("d")).join(pairs, did).join(asked, qid)
-    shared = both.select(qid, did, F.size("q").alias("n"), F.size(F.array_intersect("q", "d")).alias("shared"))
+        return F.array_distinct(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+"))
+
+    asked = queries.select(F.col(qid).alias("q"), F.array_remove(words("text"), "").alias("ws")).where(F.size("ws") > 0)
+    one = store.keep(asked.select("q", F.size("ws").alias("n"), F.explode("ws").alias("w")), "asked")
+    known = store.keep(one.select("w").distinct().withColumn("word", F.monotonically_increasing_id()), "words")
+    one = one.join(known, "w").drop("w")
+    split = docs.select(F.col(did).alias("d"), F.monotonically_increasing_id().alias("at"), words("text").alias("ws"))
+    told = store.keep(split.select("at", "d", F.explode("ws").alias("w")).join(known, "w").select("at", "d", "word"), "told")
+    held = told.groupBy("word").agg(F.count("*").alias("held"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.coalesce("held", F.lit(0)), "word"))
+    rare = one.join(held, "word", "left").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
+    seek = rare.groupBy("word").agg(F.collect_set("q").alias("seek"))
+    has = told.join(seek, "word", "left").groupBy("at").agg(F.first("d").alias("d"), F.collect_list("word").alias("has"), F.collect_list("seek").alias("seek"))
+    pairs = has.select("d", "has", F.explode(F.array_distinct(F.flatten("seek"))).alias("q"))
+    both = pairs.join(one.groupBy("q").agg(F.first("n").alias("n"), F.collect_list("word").alias("ws")), "q")
+    shared = both.select(F.col("q").alias(qid), F.col("d").alias(did), "n", F.size(F.array_intersect("ws", "has")).alias("shared"))
     return shared.where(F.col("shared") >= least * F.col("n")).select(qid, did, (F.col("shared") / F.col("n")).alias("overlap"))
 
 
